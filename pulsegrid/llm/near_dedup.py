@@ -7,8 +7,9 @@
    order of their own (a random permutation per bin). 42 bands of 6 bins are the
    bucket keys: a pair of similarity 0.8 shares a bucket but for 3 in a million.
 3. Candidate edges are stars: the members of a bucket are compared with one
-   centre, the member that shares most with others over all its buckets. Edges
-   are confirmed on the full sets, components found by label propagation.
+   centre, at first the member that shares most with others over all its
+   buckets, then another. Edges are confirmed on the full sets, components found
+   by label propagation; members of one component are not compared again.
 4. Where a bucket still holds several components, its members of different
    components are compared with each other, so that a star loses no link. Before
    that, large buckets are split by a second and a third band (members of a true
@@ -91,25 +92,29 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, n (shingles), sig (digest of the set, null if empty), bands."""
+    """id, n (shingles), sig (digest of the set, null if empty), bands, bytes (one of each bin)."""
     d = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     id_type = d.schema["id"].dataType.simpleString()
 
     def run(batches):
         known = WordHash()
         for b in batches:
-            n, sig, keys = [], [], []
+            n, sig, keys, short = [], [], [], []
             for raw in pc.fill_null(b.column(1), "").cast(pa.binary()):
                 s = shingle_set(raw.as_py(), size, known)
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 if len(s):
-                    keys.append(bands(signature(s)))
+                    full = signature(s)
+                    keys.append(bands(full))
+                    short.append(full.astype(np.uint8).tobytes())
+                else:
+                    short.append(None)
             lengths = np.r_[0, np.cumsum([BANDS if x else 0 for x in n])].astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], ["id", "n", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), pa.array(short, pa.binary())], ["id", "n", "sig", "bands", "bytes"])
 
-    return d.mapInArrow(run, f"id {id_type}, n int, sig binary, bands array<long>")
+    return d.mapInArrow(run, f"id {id_type}, n int, sig binary, bands array<long>, bytes binary")
 
 
 def shingle_table(df: DataFrame, size: int) -> DataFrame:
@@ -125,11 +130,11 @@ def shingle_table(df: DataFrame, size: int) -> DataFrame:
     return df.select("id", "t").mapInArrow(run, f"id {id_type}, s binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, tag: str) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(spark, shingle_table(docs.join(ids, "id", "left_semi"), size), f"near-sets-{tag}")
+    sets = materialize(spark, shingle_table(docs.join(ids, "id", "left_semi"), size), "near-sets")
     p = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     id_type = pairs.schema["a"].dataType.simpleString()
 
@@ -149,16 +154,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, tag: str
     return p.select("a", "b", "sa", "sb").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
-def components(spark: SparkSession, edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, comp: the least node reachable, by label propagation with jumps; nodes without edges are absent."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    label = materialize(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), f"near-labels-{tag}")
+    both = materialize(spark, edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-graph")
+    label = materialize(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "near-labels")
     for _ in range(most_rounds):
         near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         step = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
         new = step.join(jump, "comp").select("node", "old", F.least("comp", "root").alias("comp"))
-        new = materialize(spark, new, f"near-labels-{tag}")
+        new = materialize(spark, new, "near-labels")
         label = new.select("node", "comp")
         if not new.where("old <> comp").limit(1).count():
             break
@@ -167,6 +172,7 @@ def components(spark: SparkSession, edges: DataFrame, tag: str, most_rounds: int
 
 def _split_large(members: DataFrame, held: DataFrame, large: int, rounds: int = 2) -> DataFrame:
     """Refine the keys of buckets over ``large`` by further bands of their members."""
+    members = members.select("key", "rep", "n", "comp", F.col("key").alias("last"))
     for _ in range(rounds):
         counts = members.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
         m = members.join(counts, "key")
@@ -178,7 +184,66 @@ def _split_large(members: DataFrame, held: DataFrame, large: int, rounds: int =
     return members
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, large: int = 64) -> DataFrame:
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components."""
+    keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return members.join(keys, "key", "left_semi")
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _star(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """One centre per bucket, and for each member one or two of its centres in other components.
+
+    At first centres are the members that share most with others; later rounds draw them anew.
+    """
+    rank = F.struct("pop", F.xxhash64("rep")) if k == 0 else F.struct(F.xxhash64("rep", F.lit(k), "key"))
+    centre = members.groupBy("key").agg(F.max_by(F.struct("rep", "n", "comp", "pop"), rank).alias("c"))
+    near = members.join(centre, "key").where(f"comp <> c.comp AND 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
+    if k == 0:
+        picked = near.groupBy("rep").agg(F.max_by("c.rep", F.struct("c.pop", "c.rep")).alias("other"))
+    else:
+        both = [F.max_by("c.rep", F.xxhash64("c.rep", "rep", F.lit(k + 0.5 * j))) for j in range(2)]
+        picked = near.groupBy("rep").agg(F.array(*both).alias("others")).select("rep", F.explode("others").alias("other"))
+    return picked.select(*_pair("rep", "other")).distinct()
+
+
+def _all_left(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of different components that still share a bucket.
+
+    Of these, pairs whose signatures put them six deviations below the
+    similarity (a chance of one in a billion) are left out before any shuffle.
+    """
+    side = ["rep", "n", "comp", "bytes"]
+    x, y = (members.select("key", *[F.col(c).alias(c + s) for c in side]) for s in "xy")
+    near = x.join(y, "key").where(f"repx < repy AND compx <> compy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    share = percent / 100
+    least = BINS * share - 6 * (BINS * share * (1 - share)) ** 0.5
+    id_type = members.schema["rep"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            u, v = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in b.columns[2:])
+            mask = pa.array((u == v).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+
+    return near.select("repx", "repy", "bytesx", "bytesy").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+
+
+def _merge(spark: SparkSession, label: DataFrame | None, reps: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """rep, comp after further edges; the graph of the components so far is what is labelled."""
+    if label is None:
+        label = reps.select("rep", F.col("rep").alias("comp"))
+    x, y = label.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), label.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    between = edges.join(x, "a").join(y, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    new = components(spark, between)
+    out = label.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
+    return materialize(spark, out.select("rep", F.coalesce("root", "comp").alias("comp")), "near-labels")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, large: int = 64, stars: int = 2) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -189,25 +254,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
     held = materialize(spark, rows.join(keys.select("key", "c"), "key"), "near-buckets")
     central = held.groupBy("rep").agg(F.sum(F.log2("c")).alias("pop"))
-    centre = held.select("key", "rep").join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("pop", F.xxhash64("rep"))).alias("centre"), F.max("pop").alias("pop"))
-    star = held.join(centre.select("key", "centre"), "key").where("rep <> centre").select("rep", "n", "centre").distinct()
-    star = star.join(held.select(F.col("rep").alias("centre"), F.col("n").alias("nc")).distinct(), "centre").where(f"100 * least(n, nc) >= {percent} * greatest(n, nc)")
-    star = materialize(spark, star.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "near-star")
-    edges = materialize(spark, confirm(star, docs, shingle, percent, "star").distinct(), "near-edges")
-    label = components(spark, edges, "star")
-
-    # what the stars leave: buckets with several components
-    m = held.select("key", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    m = materialize(spark, m.join(mixed, "key", "left_semi").withColumn("last", F.col("key")), "near-mixed")
-    if m.limit(1).count():
-        m = materialize(spark, _split_large(m, held, large), "near-split")
-        x, y = m.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), m.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        rest = x.join(y, "key").where(f"a < b AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-        rest = materialize(spark, rest.join(star, ["a", "b"], "left_anti"), "near-rest")
-        more = materialize(spark, confirm(rest, docs, shingle, percent, "rest").distinct(), "near-edges")
-        if more.limit(1).count():
-            label = components(spark, edges.union(more), "all")
+    members = held.select("key", "rep", "n").join(central, "rep").select("key", "rep", "n", "pop", F.col("rep").alias("comp"))
+    label, tested = None, None
+    for k in range(stars + 1):
+        if k:
+            members = _mixed(members.drop("comp").join(label, "rep"))
+            members = materialize(spark, members, "near-mixed")
+            if not members.limit(1).count():
+                break
+        pairs = _star(members, k, percent) if k < stars else _all_left(_split_large(members, held, large).join(reps.select(F.col("id").alias("rep"), "bytes"), "rep"), percent)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(spark, pairs, "near-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        edges = materialize(spark, confirm(pairs, docs, shingle, percent), "near-edges")
+        label = _merge(spark, label, held.select("rep").distinct() if label is None else None, edges)
+    label = label.withColumnRenamed("rep", "node") if label is not None else None
 
     out = all_.select("id", "n", "sig").join(classes, "sig", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     comp = F.coalesce("comp", "rep", "id")
