@@ -137,9 +137,9 @@ def standardize_user(s, d):
     return elementwise.standardize(event_signals(s, d), KEY).select("signal_id", "i", r6("out").alias("out"))
 
 
-@query(f"WITH {EV} SELECT signal_id, i, round(val - avg(val) OVER (PARTITION BY signal_id), 4) AS out FROM ev")
+@query(f"WITH {EV} SELECT signal_id, i, round(val - avg(val) OVER (PARTITION BY signal_id) + 1e-9, 6) AS out FROM ev")
 def normalize_user(s, d):
-    return elementwise.normalize(event_signals(s, d), KEY).select("signal_id", "i", F.round("out", 4).alias("out"))
+    return elementwise.normalize(event_signals(s, d), KEY).select("signal_id", "i", r6(F.col("out") + 1e-9).alias("out"))
 
 
 @query(f"WITH {EV} SELECT signal_id, i, round(coalesce(val / nullif(stddev_pop(val) OVER (PARTITION BY signal_id), 0), 0), 6) AS out FROM ev")
