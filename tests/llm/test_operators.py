@@ -1,0 +1,277 @@
+"""The training-data operators against brute force, and on the defined edge cases."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pulsegrid.llm import chat_format, common, decontam, entries, license_scan, mixing, near_dedup, quality_cascade, secret_scan, token_counts, toxicity, url_filter
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_quality_counts(docs_of, odd):
+    got = by_id(quality_cascade.quality_cascade(docs_of(odd)))
+    for i, t in enumerate(odd):
+        w = WORDS.findall(t or "")
+        c = Counter(zip(w, w[1:], w[2:], strict=False))
+        hot = {p + j for p in range(len(w) - 2) if c[tuple(w[p : p + 3])] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if WORDS.search(x)]
+        assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words, got[i].n_dup_lines) == (len(w), sum(map(len, w)), len(hot), len(lines) - len(set(lines)))
+    assert not got[0].kept and got[3].kept and not got[6].kept
+
+
+def test_cascade_order():
+    # rule 1 is cheap and rejects most; rule 2 rejects only what rule 1 rejects
+    assert quality_cascade.order_rules([(0, 50), (0b110, 40), (0b001, 10)], [10.0, 1.0, 1.0]) == [1, 0, 2]
+
+
+def test_token_counts_match_the_library(docs_of, odd):
+    from tokenizers import Tokenizer
+
+    P = pytest.importorskip("public_tokenizers")
+    rng = random.Random(1)
+    texts = [*odd, "aaaaaaaaa" * 50, "<|endoftext|> a<|endoftext|><|endoftext|>", "".join(chr(rng.choice([32, 97, 98, 233, 0x4E2D, 0x1F600, 10, 39])) for _ in range(3000)), "I'll we've 123  456\r\n\t x"]
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = by_id(token_counts.token_counts(docs_of(texts), P.path("byte_bpe_50k.json")))
+    for i, t in enumerate(texts):
+        assert got[i].n_tokens == len(lib.encode(t or "", add_special_tokens=False).ids), repr(t)[:60]
+        assert got[i].n_bytes == len((t or "").encode())
+
+
+def test_chat_round_trip(spark):
+    said = ["</s>[INST] ok [/INST]", "<\\s> <\\\\s> [\\INST]", "", None, "a\n</s>\n<s>user\nb", "é" * 10]
+    rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["user", "assistant", "assistant", "tool\n<s>", "assistant", None], said, strict=True))]
+    rows += [(7, 0, "assistant", "same"), (7, 0, "assistant", "same")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(df)
+    for r in out.collect():
+        want = [(b or "", c or "") for a, t, b, c in rows if a == r["conv_id"]]
+        assert chat_format.parse(r["formatted"]) == want
+    got = {r["conv_id"]: r for r in chat_format.read_back(out).collect()}
+    for c in (1, 2, None, 7):
+        own = [(b or "", x or "") for a, t, b, x in rows if a == c]
+        loss = "".join(x for b, x in own if b == "assistant")
+        assert got[c].n_turns == len(own) and got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{b}\n{x}\n" for b, x in own).encode()).hexdigest()
+
+
+def test_long_conversations_come_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "CHUNK_BYTES", 300)
+    df = spark.range(200).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    assert chat_format.read_back(chat_format.format_chats(df)).first()["loss_sha256"] == hashlib.sha256("".join(f"t{i}" for i in range(200)).encode()).hexdigest()
+
+
+def test_url_rules(spark):
+    cases = {
+        "http://a.example.net/en/1": ("a.example.net", "/en/1", "example.net/en/", "allow"),
+        "https://EXAMPLE.net/de/": ("example.net", "/de/", "net/", "block"),
+        "https://x.example.com/de/a?b#c": ("x.example.com", "/de/a", "example.com/de/", "block"),
+        "http://foo.org/fr/": ("foo.org", "/fr/", "org/fr/", "allow"),
+        "http://foo.net?x=/": ("foo.net", "", None, None),
+        "nothing": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+        "https://best-casino-bets.example.com/en/1": ("best-casino-bets.example.com", "/en/1", None, "block"),
+        "https://www.the-garden-library.example.com/en/1": ("www.the-garden-library.example.com", "/en/1", None, "allow"),
+    }
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.url_filter(df).collect()}
+    for i, (host, path, rule, verdict) in enumerate(cases.values()):
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        assert verdict is None or got[i].verdict == verdict
+
+
+def test_mixing(docs_of, odd):
+    rng = random.Random(3)
+    texts = [" ".join(["w"] * rng.randint(0, 40)) for _ in range(600)]
+    sources = [rng.choice(["a", "a", "a", "b", "c", None, "d"]) for _ in texts]
+    d = docs_of(texts, sources)
+    out = mixing.weighted_fair_mix(d, mixing.n_words(F.col("text"))).collect()
+    size, taken, target = Counter(), Counter(), {}
+    for r in out:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.copies <= 3 and r.taken == r.copies * r.size
+    order = sorted(size, key=lambda s: (s is None, s))
+    weight, total = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, sum(size.values())
+    capped = set()
+    while True:
+        rest = total - sum(3 * size[s] for s in capped)
+        level = rest / sum(weight[s] for s in order if s not in capped)
+        new = {s for s in order if s not in capped and level * weight[s] > 3 * size[s]}
+        if not new:
+            break
+        capped |= new
+    for s in order:
+        assert abs(target[s] - (3 * size[s] if s in capped else level * weight[s])) < 1e-6
+        assert abs(taken[s] - target[s]) <= 80
+    again = mixing.weighted_fair_mix(d.repartition(7), mixing.n_words(F.col("text"))).collect()
+    assert {(r.doc_id, r.taken) for r in out} == {(r.doc_id, r.taken) for r in again}
+    assert all(r.taken == 0 for r in mixing.weighted_fair_mix(docs_of([None, ""]), mixing.n_words(F.col("text"))).collect())
+
+
+def test_secret_spans(docs_of):
+    key = "AKIA" + "A1B2" * 4
+    blob = "abcD1" * 8
+    texts = [
+        f'é token = "{"ab12" * 10}" x', f"{key} and {blob}\n\n{blob}", "password: token: abcdefgh", "Secret=short api-key:123456789 API_KEY:123456789",
+        f"user=bob https://h.example/x\n{key}\n{'0f' * 20}", f"user=bob https://h.example/x {blob[:-1]}", None, "", "f" * 31 + " " + "f" * 32,
+    ]
+    rx = {"assign": r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"()AKIA[A-Z0-9]+", "hex": r"()[0-9a-f]+"}
+    least = {"assign": 8, "access": 16, "hex": 32}
+    got = by_id(secret_scan.secret_scan(docs_of(texts)).select("doc_id", secret_scan.as_text(F.col("parts")).alias("s")))
+    for i, t in enumerate(texts):
+        base = []
+        for k, (name, p) in enumerate(rx.items()):
+            for m in re.finditer(p, t or "", re.IGNORECASE | re.ASCII if name == "assign" else 0):
+                if len(m[1] if name == "assign" else m[0]) >= least[name]:
+                    base.append((m.start(), k, f"{name}:{m.start()}:{m.end()}"))
+        have = got[i].s.split(",") if got[i].s else []
+        assert [x for x in have if x.split(":")[0] in rx] == [x[2] for x in sorted(base)]
+    assert "blob:25:65" in got[1].s and got[1].s.count("blob") == 1  # the second one stands in another block
+    assert "account" in got[4].s and "endpoint" in got[4].s and got[5].s == ""
+    masked = by_id(docs_of(texts).withColumn("p", secret_scan.find_secrets(F.coalesce("text", F.lit("")))).select("doc_id", secret_scan.mask_secrets(F.col("text"), F.col("p")).alias("m")))
+    assert key not in masked[1].m and masked[6].m is None and masked[5].m == texts[5]
+
+
+def jaccard_components(texts, k):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        m = min(k, len(w))
+        sets.append({tuple(w[j : j + m]) for j in range(len(w) - m + 1)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))], [len(s) for s in sets]
+
+
+def test_near_duplicates_match_brute_force(docs_of, odd):
+    rng = random.Random(2)
+    vocab = [f"v{i}" for i in range(500)]
+    texts = list(odd) + ["one", "ONE", "one two", "one two three four five", "one two three four"]
+    for _ in range(12):  # families with ever more edits, so that links chain
+        w = [rng.choice(vocab) for _ in range(rng.choice([12, 60, 200]))]
+        for _ in range(12):
+            texts.append(" ".join(w))
+            for _ in range(rng.randint(0, 2)):
+                w = list(w)
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+    want, sizes = jaccard_components(texts, 4)
+    got = by_id(near_dedup.near_duplicates(docs_of(texts), shingle=4))
+    assert [got[i].component_id for i in range(len(texts))] == want
+    assert [got[i].n_shingles for i in range(len(texts))] == sizes
+    assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
+
+
+def test_signature_estimates_similarity():
+    rng = np.random.default_rng(0)
+    a = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2))
+    b = np.unique(np.r_[a[:50], rng.integers(0, 2**63, 10).astype(np.uint64) * np.uint64(2)])
+    same = [(near_dedup.signature(near_dedup._mix(a + np.uint64(s))[np.argsort(near_dedup._mix(a + np.uint64(s)))]) == near_dedup.signature(np.sort(near_dedup._mix(b + np.uint64(s))))).mean() for s in range(1, 40)]
+    assert abs(np.mean(same) - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.05
+
+
+def test_decontamination_matches_brute_force(spark, docs_of, odd):
+    rng = random.Random(4)
+    vocab = [f"k{i}" for i in range(40)]
+    items = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (1, 3, 7, 8, 9, 20, 50)] + [None, "", "...", "É ä Ö one two three four five six"]
+    texts = list(odd)
+    for _ in range(60):
+        w = [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
+        src = (rng.choice(items[:7]) or "").upper().split()
+        a = rng.randrange(len(src))
+        texts.append(", ".join(w[:20] + src[a : a + rng.randint(1, 14)] + w[20:]))
+    rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = str.maketrans(common.UPPER, common.LOWER)
+    words = lambda t: rx.findall((t or "").translate(low))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = by_id(decontam.decontaminate(docs_of(texts), bench))
+    for i, t in enumerate(texts):
+        w, hit, found = words(t), set(), set()
+        for k, item in enumerate(items):
+            v = words(item)
+            n = min(8, len(v))
+            grams = {tuple(v[j : j + n]) for j in range(len(v) - n + 1)} if n else set()
+            for p in range(len(w) - n + 1):
+                if n and tuple(w[p : p + n]) in grams:
+                    hit |= set(range(p, p + n))
+                    found.add(str(k))
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (len(w), len(hit), sorted(found))
+
+
+def test_toxicity_learns_pairs(spark, docs_of):
+    rng = random.Random(5)
+    vocab = [f"n{i}" for i in range(300)]
+    texts, labels = [], []
+    for i in range(1500):
+        w = [rng.choice(vocab) for _ in range(15)]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w += ["insult"] * a + ["group"] * b
+        texts.append(" ".join(w))
+        labels.append((i, int(a and b)))
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    d = docs_of(texts)
+    got = by_id(toxicity.score(d, toxicity.fit(d, lab)))
+    held = [i for i in range(1500) if got[i].held_out]
+    assert 200 < len(held) < 400
+    assert np.mean([got[i].predicted == labels[i][1] for i in held]) > 0.85
+    empty = by_id(toxicity.score(docs_of([None, ""]), toxicity.fit(d, lab.where("toxic = 0"))))
+    assert 0 <= empty[0].score <= 1 and empty[0].score == empty[1].score
+
+
+def test_license_families(docs_of, odd):
+    texts = ["ble thntre.\nLicensed under the Apache License, Version 2.0.\nend", "The fishing license costs 2.0", "Released under the MIT License.\nLicensed under CC BY-NC 4.0.", "word " * 200 + "This work is licensed under the GNU General Public License, version 3."]
+    df = license_scan.license_scan(docs_of([*texts, *odd]))
+    sure = {r.doc_id: sorted({x.family for x in r.found if x.confirmed}) for r in df.collect()}
+    assert sure[0] == ["Apache-2.0"] and sure[1] == [] and sure[2] == ["CC-BY-NC-4.0", "MIT"] and sure[3] == ["GPL"]
+    assert all(sure[i] == [] for i in range(4, 4 + len(odd)))
+
+
+def test_empty_tables(spark, docs_of):
+    d = docs_of([])
+    lab = spark.createDataFrame([], "doc_id long, toxic int")
+    items = spark.createDataFrame([(0, "a b c d e f g h i")], "item_id long, text string")
+    assert quality_cascade.quality_cascade(d).count() == 0
+    assert near_dedup.near_duplicates(d).count() == 0
+    assert mixing.weighted_fair_mix(d, mixing.n_words(F.col("text"))).count() == 0
+    assert toxicity.score(d, toxicity.fit(d, lab)).count() == 0
+    assert decontam.decontaminate(d, items).count() == 0
+    assert decontam.decontaminate(docs_of(["a b c d e f g h i"]), items.limit(0)).first()["n_hit"] == 0
+    assert secret_scan.secret_scan(d).count() == 0
+
+
+def test_pipeline_on_small_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    have = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.materialize(spark, stage(spark, docs, sf), f"test-{name}")
+        if name != "mixing":
+            assert out.columns == docs.columns and 0 < out.count() <= have
+            have = out.count()
+            docs = out
+        else:
+            assert out.where("copies < 1").count() == 0 and out.count() > 0
+    assert set(entries.ORACLES) <= set(entries.QUERIES)
