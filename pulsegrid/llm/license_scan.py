@@ -135,7 +135,7 @@ def training_table(spark: SparkSession) -> DataFrame:
 
 def probabilities(model: logistic.Linear, idx: Column) -> Column:
     """Softmax over families and unknown, as an array."""
-    raw = F.array(*logistic.margins(model, idx))
+    raw = logistic.margins(model, idx)
 
     def soft(m: Column) -> Column:
         top = F.array_max(m)
@@ -157,15 +157,22 @@ def train(spark: SparkSession, reg: float = 0.001) -> tuple[logistic.Linear, flo
 
 def confirmed(words: Column, family: Column, share: float) -> Column:
     """Whether ``share`` of the shingles of one of the family's templates occur in the unit."""
-    out = F.lit(False)
-    own = shingles(words)
-    for k, texts in enumerate(TEMPLATES.values()):
-        like = [F.size(F.array_intersect(own, _template(t))) >= share * F.size(_template(t)) for t in texts]
-        any_ = like[0]
-        for x in like[1:]:
-            any_ = any_ | x
-        out = F.when(family == k, any_).otherwise(out)
-    return out
+
+    def against(own: Column) -> Column:
+        out = F.lit(False)
+        for k, texts in enumerate(TEMPLATES.values()):
+            like = [let(_template(t), _covers(own, share)) for t in texts]
+            any_ = like[0]
+            for x in like[1:]:
+                any_ = any_ | x
+            out = F.when(family == k, any_).otherwise(out)
+        return out
+
+    return let(shingles(words), against)
+
+
+def _covers(own: Column, share: float):
+    return lambda t: F.size(F.array_intersect(own, t)) >= share * F.size(t)
 
 
 def _template(text: str) -> Column:

@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.common import let
+
 
 @dataclass(frozen=True)
 class Linear:
@@ -45,12 +47,21 @@ def literal(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{x:.6g}" for x in values)), ",").cast("array<double>")
 
 
-def margins(model: Linear, idx: Column) -> list[Column]:
-    """One linear score per weight list; the weights are literals of a fixed length."""
-    out = []
-    for w, b in zip(model.weights, model.intercepts, strict=True):
-        out.append(F.lit(b) + _sum_of(literal(w), idx) * scale(idx))
-    return out
+def margins(model: Linear, idx: Column) -> Column:
+    """Array of one linear score per weight list; the weights are literals of a fixed length.
+
+    Each array is bound once; buckets that training never saw have no weight and are left out of the sums.
+    """
+    seen = [float(any(w[k] for w in model.weights)) for k in range(len(model.weights[0]))]
+    used = literal(seen)
+
+    def scores(full: Column) -> Column:
+        def of(own: Column) -> Column:
+            return F.array(*[F.lit(b) + _sum_of(literal(w), own) * scale(full) for w, b in zip(model.weights, model.intercepts, strict=True)])
+
+        return let(F.filter(full, lambda i: F.element_at(used, i + 1) > 0), of)
+
+    return let(idx, scores)
 
 
 def _sum_of(table: Column, idx: Column) -> Column:

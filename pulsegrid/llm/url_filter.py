@@ -78,7 +78,7 @@ def url_filter(df: DataFrame, url_col: str = "url", id_col: str = "page_id", rul
     host, path = host_path(F.col(url_col))
     rows = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rows = rows.select("*", url_buckets(F.col("host"), F.col("path"), dim).alias("idx"), rule_of(F.col("host"), F.col("path"), rules).alias("r"))
-    score = 1.0 / (1.0 + F.exp(-logistic.margins(model, F.col("idx"))[0]))
+    score = 1.0 / (1.0 + F.exp(-F.get(logistic.margins(model, F.col("idx")), F.lit(0))))
     verdict = F.coalesce(F.col("r.verdict"), F.when(score >= threshold, "block").otherwise("allow"))
     return rows.select(id_col, "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), score.alias("block_score"))
 
