@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +31,10 @@ def scale(idx: Column) -> Column:
 
 def fit(train: DataFrame, dim: int, reg: float, max_iter: int = 60) -> Linear:
     """``train`` has ``idx`` (distinct buckets) and ``label`` (0, 1, ...); it is a small table."""
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.array_contains(F.col("idx"), i), scale(F.col("idx"))).otherwise(F.lit(0.0)))
-    rows = train.select(F.col("label").cast("double").alias("label"), array_to_vector(dense).alias("features")).coalesce(1).cache()
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="terms", outputCol="counts")
+    terms = train.select(F.col("label").cast("double").alias("label"), F.col("idx").cast("array<string>").alias("terms"))
+    # (distinct buckets have counts of 1, so dividing by the length is what ``scale`` does)
+    rows = Normalizer(inputCol="counts", outputCol="features").transform(counts.transform(terms)).select("label", "features").coalesce(1).cache()
     try:
         model = LogisticRegression(regParam=reg, maxIter=max_iter, standardization=False).fit(rows)
     finally:
