@@ -7,14 +7,14 @@
    order of their own (a random permutation per bin). 42 bands of 6 bins are the
    bucket keys: a pair of similarity 0.8 shares a bucket but for 3 in a million.
 3. Candidate edges are stars: the members of a bucket are compared with one
-   centre, at first the member that shares most with others over all its
-   buckets, then another. Edges are confirmed on the full sets, components found
+   centre, the member that shares most with others over all its buckets. Edges are confirmed on the full sets, components found
    by label propagation; members of one component are not compared again.
-4. Where a bucket still holds several components, its members of different
-   components are compared with each other, so that a star loses no link. Before
-   that, large buckets are split by a second and a third band (members of a true
-   pair share eleven of 42 on average), which keeps them small however many
-   texts share a passage.
+4. Where a bucket still holds several components, each member's set is taken as
+   its difference to the bucket's centre. Members linked with the centre join it.
+   Others are similar to each other only if their differences share a known
+   number of elements, so only members that share one of the rarest elements of
+   their differences are compared: a star loses no link, and the number of pairs
+   follows what members have in common beyond the centre, not the bucket's size.
 
 Intermediate tables are written to the shared folder; only counts come to the
 driver.
@@ -92,29 +92,25 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, n (shingles), sig (digest of the set, null if empty), bands, bytes (one of each bin)."""
+    """id, n (shingles), sig (digest of the set, null if empty), bands."""
     d = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     id_type = d.schema["id"].dataType.simpleString()
 
     def run(batches):
         known = WordHash()
         for b in batches:
-            n, sig, keys, short = [], [], [], []
+            n, sig, keys = [], [], []
             for raw in pc.fill_null(b.column(1), "").cast(pa.binary()):
                 s = shingle_set(raw.as_py(), size, known)
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 if len(s):
-                    full = signature(s)
-                    keys.append(bands(full))
-                    short.append(full.astype(np.uint8).tobytes())
-                else:
-                    short.append(None)
+                    keys.append(bands(signature(s)))
             lengths = np.r_[0, np.cumsum([BANDS if x else 0 for x in n])].astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), pa.array(short, pa.binary())], ["id", "n", "sig", "bands", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], ["id", "n", "sig", "bands"])
 
-    return d.mapInArrow(run, f"id {id_type}, n int, sig binary, bands array<long>, bytes binary")
+    return d.mapInArrow(run, f"id {id_type}, n int, sig binary, bands array<long>")
 
 
 def shingle_table(df: DataFrame, size: int) -> DataFrame:
@@ -170,20 +166,6 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
     return label
 
 
-def _split_large(members: DataFrame, held: DataFrame, large: int, rounds: int = 2) -> DataFrame:
-    """Refine the keys of buckets over ``large`` by further bands of their members."""
-    members = members.select("key", "rep", "n", "comp", F.col("key").alias("last"))
-    for _ in range(rounds):
-        counts = members.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
-        m = members.join(counts, "key")
-        small = m.where(F.col("c") <= large).drop("c")
-        more = held.select("rep", F.col("key").alias("key2"))
-        big = m.where(F.col("c") > large).drop("c").withColumnRenamed("last", "prev").join(more, "rep").where(F.col("key2") > F.col("prev"))
-        big = big.select(F.xxhash64("key", "key2").alias("key"), "rep", "n", "comp", F.col("key2").alias("last"))
-        members = small.unionByName(big)
-    return members
-
-
 def _mixed(members: DataFrame) -> DataFrame:
     """Members of buckets that hold several components."""
     keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
@@ -210,26 +192,73 @@ def _star(members: DataFrame, k: int, percent: int) -> DataFrame:
     return picked.select(*_pair("rep", "other")).distinct()
 
 
-def _all_left(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of different components that still share a bucket.
+def _differences(spark: SparkSession, members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """centre, rep, n, nc, linked, diff: how each member's set differs from the centres of its buckets.
 
-    Of these, pairs whose signatures put them six deviations below the
-    similarity (a chance of one in a billion) are left out before any shuffle.
+    ``n`` and ``nc`` are the sizes of the member's and the centre's set, ``diff`` is
+    their symmetric difference, ``linked`` tells whether they reach the similarity.
     """
-    side = ["rep", "n", "comp", "bytes"]
-    x, y = (members.select("key", *[F.col(c).alias(c + s) for c in side]) for s in "xy")
-    near = x.join(y, "key").where(f"repx < repy AND compx <> compy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    share = percent / 100
-    least = BINS * share - 6 * (BINS * share * (1 - share)) ** 0.5
+    centre = members.groupBy("key").agg(F.max_by("rep", F.struct((-F.floor(F.log("n") / F.log(F.lit(1.1)))).alias("small"), "pop", "rep")).alias("centre"))
+    both = members.select("key", "rep").join(centre, "key").where("rep <> centre").select("centre", "rep").distinct()
+    both = materialize(spark, both, "near-centres")
+    ids = both.select(F.explode(F.array("centre", "rep")).alias("id")).distinct()
+    sets = materialize(spark, shingle_table(docs.join(ids, "id", "left_semi"), size), "near-sets")
+    own = both.join(sets.select(F.col("id").alias("rep"), F.col("s").alias("sx")), "rep")
+    pairs = own.join(sets.select(F.col("id").alias("centre"), F.col("s").alias("sc")), "centre")
     id_type = members.schema["rep"].dataType.simpleString()
+    names = ["centre", "rep", "n", "nc", "linked", "diff"]
 
     def run(batches):
-        for b in batches:
-            u, v = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in b.columns[2:])
-            mask = pa.array((u == v).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
-
-    return near.select("repx", "repy", "bytesx", "bytesy").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+        for batch in batches:
+            n, nc, linked, diffs = [], [], [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                d = np.setxor1d(u, v, assume_unique=True)
+                total = len(u) + len(v)
+                n.append(len(u))
+                nc.append(len(v))
+                linked.append((100 + percent) * len(d) <= (100 - percent) * total)
+                diffs.append(d.view(np.int64))
+            ends = np.r_[0, np.cumsum([len(d) for d in diffs])].astype(np.int32)
+            flat = np.concatenate(diffs) if diffs else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(nc, pa.int32()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names)
+
+    schema = f"centre {id_type}, rep {id_type}, n int, nc int, linked boolean, diff array<long>"
+    return materialize(spark, pairs.select("centre", "rep", "sx", "sc").mapInArrow(run, schema), "near-differences")
+
+
+def _sharing(diffs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one centre, in different components, that can still be similar.
+
+    Sets x and y are similar if |x ^ y| <= f (|x| + |y|), f = (100 - percent) / (100 + percent).
+    With dx = x ^ c and dy = y ^ c, |x ^ y| = |dx| + |dy| - 2 |dx & dy|, and
+    |dy| > f (|y| + |c|) where y isn't linked with the centre. So dx and dy share more
+    than (|dx| + f (|c| - |x|)) / 2 elements if y isn't linked with c, and at least
+    (|dx| - f (|x| + |c|)) / 2 if it is. By the pigeonhole principle the rarest elements
+    of dx, up to that many from the end, meet those of dy; elements of
+    a single member meet none. Two members linked with the centre are in one component.
+    Of an element that is the first they share, what follows in both must be enough
+    for the number that the two sizes call for.
+    """
+    up, down = 100 + percent, 100 - percent
+    diffs = diffs.join(label, "rep")
+    several = diffs.groupBy("centre").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("centre")
+    diffs = diffs.join(several, "centre", "left_semi")
+    each = diffs.select("centre", "rep", F.explode("diff").alias("e"))
+    shared = each.groupBy("centre", "e").agg(F.count("*").alias("c")).where("c > 1")
+    found = each.join(shared, ["centre", "e"]).groupBy("centre", "rep").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))
+    sized = found.join(diffs.select("centre", "rep", "n", "nc", "linked", "comp", F.size("diff").cast("long").alias("d")), ["centre", "rep"])
+    alone = F.expr("d - size(es)")
+    short = F.expr(f"d - ({up}L * d + {down} * (nc - n)) div {2 * up}")
+    most = F.expr(f"d - ({up}L * d - {down} * (nc + n) + {2 * up - 1}) div {2 * up} + 1")
+    placed = sized.select("centre", "rep", "n", "comp", "linked", short.alias("near"), "d", alone.alias("alone"), F.posexplode(F.slice("es", 1, F.greatest(F.when(F.col("linked"), short).otherwise(F.greatest(short, most)) - alone, F.lit(0)).cast("int"))).alias("at", "ce"))
+    placed = placed.select("centre", F.col("ce.e").alias("e"), "rep", "n", "comp", "linked", "d", (F.col("alone") + F.col("at") < F.col("near")).alias("first"), (F.col("d") - F.col("alone") - F.col("at")).alias("rest"))
+    side = ["rep", "n", "comp", "linked", "d", "first", "rest"]
+    x, y = (placed.select("centre", "e", *[F.col(c).alias(c + k) for c in side]) for k in "xy")
+    near = x.where("NOT linkedx").join(y.where("firsty"), ["centre", "e"])
+    enough = f"{2 * up}L * least(restx, resty) >= {up} * (dx + dy) - {down} * (nx + ny)"
+    near = near.where(f"compx <> compy AND {enough} AND (linkedy OR firstx AND repx < repy) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    return near.select(*_pair("repx", "repy")).distinct()
 
 
 def _merge(spark: SparkSession, label: DataFrame | None, reps: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -243,7 +272,7 @@ def _merge(spark: SparkSession, label: DataFrame | None, reps: DataFrame | None,
     return materialize(spark, out.select("rep", F.coalesce("root", "comp").alias("comp")), "near-labels")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, large: int = 64, stars: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, stars: int = 1) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -256,19 +285,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     central = held.groupBy("rep").agg(F.sum(F.log2("c")).alias("pop"))
     members = held.select("key", "rep", "n").join(central, "rep").select("key", "rep", "n", "pop", F.col("rep").alias("comp"))
     label, tested = None, None
-    for k in range(stars + 1):
+    for k in range(stars):
         if k:
             members = _mixed(members.drop("comp").join(label, "rep"))
             members = materialize(spark, members, "near-mixed")
-            if not members.limit(1).count():
-                break
-        pairs = _star(members, k, percent) if k < stars else _all_left(_split_large(members, held, large).join(reps.select(F.col("id").alias("rep"), "bytes"), "rep"), percent)
+        pairs = _star(members, k, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(spark, pairs, "near-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         edges = materialize(spark, confirm(pairs, docs, shingle, percent), "near-edges")
         label = _merge(spark, label, held.select("rep").distinct() if label is None else None, edges)
+    left = materialize(spark, _mixed(members.drop("comp").join(label, "rep")), "near-mixed")
+    if left.limit(1).count():
+        diffs = _differences(spark, left, docs, shingle, percent)
+        label = _merge(spark, label, None, diffs.where("linked").select(*_pair("centre", "rep")))
+        pairs = materialize(spark, _sharing(diffs, label, percent).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        label = _merge(spark, label, None, confirm(pairs, docs, shingle, percent))
     label = label.withColumnRenamed("rep", "node") if label is not None else None
 
     out = all_.select("id", "n", "sig").join(classes, "sig", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")

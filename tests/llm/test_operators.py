@@ -183,6 +183,28 @@ def test_near_duplicates_match_brute_force(docs_of, odd):
     assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
 
 
+def test_a_large_group_around_one_text_loses_no_link(docs_of):
+    """Many texts beside the similarity to one centre, some of which are linked only with each other."""
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(300)]
+    centre = [rng.choice(vocab) for _ in range(90)]
+    texts = []
+    for _ in range(60):
+        w = list(centre)
+        for _ in range(rng.randint(2, 9)):
+            at, kind = rng.randrange(len(w)), rng.randrange(4)
+            w[at : at + (kind < 3)] = [] if kind == 2 else [rng.choice(vocab[:20])]
+        for _ in range(3):
+            texts.append(" ".join(w))
+            w = list(w)
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+    texts += [" ".join(centre[20:70] + [rng.choice(vocab) for _ in range(rng.randint(5, 40))]) for _ in range(60)]
+    want, _ = jaccard_components(texts, 4)
+    got = by_id(near_dedup.near_duplicates(docs_of(texts), shingle=4))
+    assert [got[i].component_id for i in range(len(texts))] == want
+    assert 1 < len(set(want)) < len(want)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2))
