@@ -314,16 +314,39 @@ def box(im: np.ndarray, h: int, w: int) -> np.ndarray:
     return (total // (np.diff(ys)[:, None] * np.diff(xs)[None, :])[..., None]).astype(np.uint8)
 
 
-def cubic(im: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Bicubic resize (a = -0.5), widened when shrinking."""
+def _cubic(d: np.ndarray) -> np.ndarray:
+    return np.where(d < 1, 1.5 * d**3 - 2.5 * d**2 + 1, np.where(d < 2, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2, 0))
 
-    def axis(src: int, dst: int) -> np.ndarray:
-        s = max(1.0, src / dst)
-        d = np.abs((np.arange(src)[None, :] + 0.5 - (np.arange(dst)[:, None] + 0.5) * src / dst) / s)
-        k = np.where(d < 1, 1.5 * d**3 - 2.5 * d**2 + 1, np.where(d < 2, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2, 0))
-        return k / k.sum(1, keepdims=True)
 
-    out = np.einsum("ys,xt,stc->yxc", axis(im.shape[0], h), axis(im.shape[1], w), im.astype(float))
+#: Weight of a source pixel by its distance from the place of the new one.
+FILTERS = {
+    "bicubic": _cubic,
+    "lanczos3": lambda d: np.where(d < 3, np.sinc(d) * np.sinc(d / 3), 0),
+    "bilinear_wide": lambda d: np.maximum(1 - d, 0),
+}
+
+
+def _filter_axis(src: int, dst: int, weight) -> np.ndarray:
+    """Weights (dst, src) of a filter, widened when shrinking."""
+    s = max(1.0, src / dst)
+    k = weight(np.abs((np.arange(src)[None, :] + 0.5 - (np.arange(dst)[:, None] + 0.5) * src / dst) / s))
+    return k / k.sum(1, keepdims=True)
+
+
+def _area_axis(src: int, dst: int) -> np.ndarray:
+    """Weights (dst, src) by the share of each new pixel that a source pixel covers."""
+    edge = np.arange(dst + 1)[:, None] * src / dst
+    at = np.arange(src)[None, :]
+    cover = np.clip(np.minimum(edge[1:], at + 1) - np.maximum(edge[:-1], at), 0, None)
+    return cover * dst / src
+
+
+def separable(im: np.ndarray, h: int, w: int, algorithm: str) -> np.ndarray:
+    """Resize by weights along either axis: a filter of ``FILTERS``, or area."""
+    if 0 in (*im.shape, h, w):
+        return np.zeros((h, w, im.shape[2]), np.uint8)
+    axes = [_area_axis(s, d) if algorithm == "area" else _filter_axis(s, d, FILTERS[algorithm]) for s, d in ((im.shape[0], h), (im.shape[1], w))]
+    out = np.einsum("xt,ytc->yxc", axes[1], np.einsum("ys,stc->ytc", axes[0], im.astype(float)))
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
@@ -337,4 +360,6 @@ def resize(im: np.ndarray, h: int, w: int, algorithm: str = "auto") -> np.ndarra
         return im
     if algorithm == "auto":
         algorithm = "box" if im.shape[0] > 2 * h and im.shape[1] > 2 * w else "bilinear"
-    return {"box": box, "bilinear": bilinear, "bicubic": cubic, "nearest": nearest}[algorithm](im, h, w)
+    if algorithm == "area" or algorithm in FILTERS:
+        return separable(im, h, w, algorithm)
+    return {"box": box, "bilinear": bilinear, "nearest": nearest}[algorithm](im, h, w)

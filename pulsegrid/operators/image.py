@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import kernels
@@ -65,34 +65,38 @@ def target_shape(h: int, w: int, size: tuple[int, int], keep_ratio: bool, by_lon
     return int(h * r), int(w * r)
 
 
-def crop_slice_resize(frames: DataFrame, size: tuple[int, int] | None = None, roi: tuple[int, int, int, int] | None = None, idxs: list[int] | None = None, keep_ratio: bool = False, algorithm: str = "auto") -> DataFrame:
+def crop_slice_resize(frames: DataFrame, size: tuple[int, int] | None = None, roi: tuple[int, int, int, int] | None = None, idxs: list[int] | None = None, keep_ratio: bool = False, algorithm: str | Column = "auto") -> DataFrame:
     """Frame table (…, frame, h, w, c, data) cropped (box clipped to the frame), picked and resized.
 
-    Picked frames keep the order and repetitions of ``idxs`` in the column ``pos``.
+    Picked frames keep the order and repetitions of ``idxs`` in the column ``pos``;
+    ``algorithm`` names a kernel, or is a column that does so per frame.
     """
     if idxs is not None:
         pick = frames.sparkSession.createDataFrame(list(enumerate(idxs)), "pos long, frame int")
         frames = frames.join(F.broadcast(pick), "frame")  # a list given in the call
 
+    columns = frames.columns
+    frames = frames.withColumn("_algorithm", algorithm if isinstance(algorithm, Column) else F.lit(algorithm))
+
     def run(batches):
         for b in batches:
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             hs, ws, ds = [], [], []
-            for h, w, c, d in zip(*(cols[n].to_pylist() for n in ("h", "w", "c", "data")), strict=True):
+            for h, w, c, d, how in zip(*(cols[n].to_pylist() for n in ("h", "w", "c", "data", "_algorithm")), strict=True):
                 im = np.frombuffer(d, np.uint8).reshape(h, w, c)
                 if roi:
                     x0, x1 = (min(max(int(v), 0), w) for v in (roi[0], roi[2]))
                     y0, y1 = (min(max(int(v), 0), h) for v in (roi[1], roi[3]))
                     im = im[y0:y1, x0:x1]
                 if size:
-                    im = kernels.resize(im, *target_shape(*im.shape[:2], size, keep_ratio), algorithm)
+                    im = kernels.resize(im, *target_shape(*im.shape[:2], size, keep_ratio), how)
                 hs.append(im.shape[0])
                 ws.append(im.shape[1])
                 ds.append(im.tobytes())
             cols |= {"h": pa.array(hs, pa.int32()), "w": pa.array(ws, pa.int32()), "data": pa.array(ds, pa.binary())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return frames.mapInArrow(run, frames.schema)
+    return frames.mapInArrow(run, frames.schema).select(*columns)
 
 
 def frames_of(pixels: DataFrame, keys: list[str], h: int, w: int, val: str = "p") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import expr
-from pulsegrid.operators import asof, detect, elementwise, image, interp, metrics, physio, roi, spectral, topk, windows
+from pulsegrid.operators import asof, augment, detect, elementwise, image, interp, metrics, physio, roi, spectral, topk, windows
 from pulsegrid.sources import media
 from pulsegrid.sources.tables import event_signals, micros, read, vector_frames, vector_pairs, vector_signals
 
@@ -338,7 +338,7 @@ def metrics_snr(v: DataFrame) -> DataFrame:
 _DFT = f"WITH {EM}, c AS (SELECT signal_id, k, sum(val * cos(-2 * pi() / 64 * k * i)) AS re, sum(val * sin(-2 * pi() / 64 * k * i)) AS im FROM em, (SELECT unnest(range(0, 33)) AS k) GROUP BY ALL), pw AS (SELECT signal_id, k, re * re + im * im AS p FROM c)"
 
 
-@query(_DFT + " SELECT signal_id, round(arg_max(k, p) * 0.5, 6) AS freq FROM pw GROUP BY signal_id")
+@query(_DFT + " SELECT signal_id, round(arg_max(k, p) * 0.5, 6)::DOUBLE AS freq FROM pw GROUP BY signal_id")
 def dft_peak(s, d):
     return spectral.dft_peak(vector_signals(s, d), KEY, 64, 32.0).select("signal_id", r6("freq").alias("freq"))
 
@@ -509,6 +509,114 @@ def rectify_rotation(s, d):
     return read(s, d, "customer").select("c_custkey", media.rectify(k % 640, k % 480, (k % 4) * 90 - 90).alias("x")).select("c_custkey", "x.*")
 
 
+# --- augmentation, sequences, further parsing --------------------------------------------
+
+_RGB = FR + ", rgb AS (SELECT frame, y, x, p / 255.0::DOUBLE AS r, (p * 7 % 256) / 255.0::DOUBLE AS g, (p * 13 % 256) / 255.0::DOUBLE AS b FROM fr)"
+
+
+def _rgb(s, d):
+    p = F.col("p")
+    return vector_frames(s, d).select("frame", "y", "x", (p / 255.0).alias("r"), (p * 7 % 256 / 255.0).alias("g"), (p * 13 % 256 / 255.0).alias("b"))
+
+
+def _drawn(kind: str) -> str:
+    return f"(('0x' || substr(md5('distort-{kind}:' || frame), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _channel(n: int, old: str) -> str:
+    k = f"(((turn + {n}) % 6 + 6) % 6)"
+    return f"round(coalesce(v - span * greatest(0, least({k}, 4 - {k}, 1)), {old}), 6) AS {old}"
+
+
+@query(
+    f"WITH {_RGB}, f AS (SELECT DISTINCT frame FROM rgb), dr AS (SELECT frame, (2 * {_drawn('brightness')} - 1) * 0.4::DOUBLE AS db, 1 + (2 * {_drawn('contrast')} - 1) * 0.5::DOUBLE AS dc, 1 + (2 * {_drawn('saturation')} - 1) * 0.5::DOUBLE AS ds, (2 * {_drawn('hue')} - 1) * 0.1::DOUBLE AS dh FROM f), "
+    + "c AS (SELECT frame, y, x, ds, dh, " + ", ".join(f"({c} - avg({c}) OVER w) * dc + avg({c}) OVER w + db AS {c}" for c in "rgb") + " FROM rgb JOIN dr USING (frame) WINDOW w AS (PARTITION BY frame)), "
+    + "m AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS ch FROM c), t AS (SELECT *, CASE WHEN v > 0 AND ch > 0 THEN CASE WHEN r = v THEN (g - b) / ch WHEN g = v THEN 2 + (b - r) / ch ELSE 4 + (r - g) / ch END + 6 * dh END AS turn, CASE WHEN v > 0 AND ch > 0 THEN least(ch * ds, v) END AS span FROM m) "
+    + f"SELECT frame, y, x, {_channel(5, 'r')}, {_channel(3, 'g')}, {_channel(1, 'b')} FROM t"
+)
+def random_distortion(s, d):
+    out = augment.random_distortion(_rgb(s, d), ["frame"])
+    return out.select("frame", "y", "x", *[r6(c).alias(c) for c in "rgb"])
+
+
+@query()
+def random_resize(s, d):
+    f = image.frames_of(vector_frames(s, d), ["frame"], 8, 8)
+    return augment.random_resize(f, ["frame"], (5, 6)).select("frame", "method", "h", "w", F.hex("data").alias("data"))
+
+
+@query(f"WITH {EM}, dt AS (SELECT signal_id, unnest([16, 32, 48]) AS det_idx FROM (SELECT DISTINCT signal_id FROM em)), x AS (SELECT dt.signal_id, dt.det_idx, e.i, row_number() OVER (PARTITION BY dt.signal_id, dt.det_idx ORDER BY e.val, e.i) AS n FROM dt JOIN em e ON e.signal_id = dt.signal_id AND e.i >= det_idx - 4 AND e.i < det_idx + 4) SELECT signal_id, det_idx, i AS refined FROM x WHERE n = 1")
+def refine_feet(s, d):
+    dets = read(s, d, "embeddings").select(F.col("vec_id").alias("signal_id"), F.explode(F.expr("array(16L, 32L, 48L)")).alias("det_idx"))
+    return detect.refine(vector_signals(s, d), dets, KEY, 8, foot=True).select("signal_id", "det_idx", "refined")
+
+
+_SEQ_HRV = f"WITH {EV}, g AS (SELECT signal_id, us, us / 1e6 / 7200000 AS t, CASE WHEN us - lag(us) OVER (PARTITION BY signal_id ORDER BY us) > 86400000000 THEN 1 ELSE 0 END AS n FROM ev), sq AS (SELECT *, sum(n) OVER (PARTITION BY signal_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS seq_id FROM g), df AS (SELECT *, t - lag(t) OVER (PARTITION BY signal_id, seq_id ORDER BY us) AS d FROM sq)"
+
+
+def _hrv_sequences(s, d):
+    w = W.partitionBy("signal_id").orderBy("us")
+    e = _detections(s, d).withColumn("n", F.coalesce((F.col("us") - F.lag("us").over(w) > 86_400_000_000).cast("int"), F.lit(0)))
+    return e.select("signal_id", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("seq_id"), (F.col("us") / 1e6 / 7_200_000).alias("t"))
+
+
+@query(_SEQ_HRV + ", q AS (SELECT signal_id, seq_id, CASE WHEN count(d) + 1 >= 4 AND max(t) - min(t) >= 0.001 THEN least(greatest(sqrt(var_pop(d)) * 1000, 1.0), 200.0) END AS v, max(t) - min(t) AS w FROM df GROUP BY ALL) SELECT signal_id, round(sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w END), 4) AS value FROM q GROUP BY signal_id")
+def hrv_sdnn_sequences(s, d):
+    v = physio.hrv_from_sequences(_hrv_sequences(s, d), KEY, "sdnn", min_dets=4, min_t=0.001)
+    return v.select("signal_id", F.round(F.nanvl("value", F.lit(None).cast("double")), 4).alias("value"))
+
+
+@query(_SEQ_HRV + ", x AS (SELECT *, d - lag(d) OVER (PARTITION BY signal_id, seq_id ORDER BY us) AS dd FROM df) SELECT signal_id, CASE WHEN count(d) + 1 >= 4 AND max(t) - min(t) >= 0.001 THEN round(least(greatest(sqrt(avg(dd * dd)) * 1000, 1.0), 200.0), 4) END AS value FROM x GROUP BY signal_id")
+def hrv_rmssd_sequences_pooled(s, d):
+    v = physio.hrv_from_sequences(_hrv_sequences(s, d), KEY, "rmssd", min_dets=4, min_t=0.001, weighted=False)
+    return v.select("signal_id", F.round(F.nanvl("value", F.lit(None).cast("double")), 4).alias("value"))
+
+
+@query(f"WITH {EV} SELECT signal_id, i % 50 AS slot, arg_max(val, i) FILTER (i % 3 > 0) AS val FROM ev GROUP BY ALL HAVING count(*) FILTER (i % 3 > 0) > 0")
+def overlay_sequences(s, d):
+    e = event_signals(s, d).withColumn("val", F.when(F.col("i") % 3 > 0, F.col("val"))).withColumn("slot", F.col("i") % 50)
+    return asof.overlay(e, ["signal_id", "slot"], "val", "i").select("signal_id", "slot", "val")
+
+
+@query(f"WITH {PAIR}, h AS (SELECT signal_id, CASE WHEN i % 4 > 0 THEN y_true END AS t, y_pred AS p FROM pr) SELECT signal_id, round(avg(abs(t - p)), 6) AS mae, round(avg((t - p) ** 2), 6) AS mse, round(sqrt(avg((t - p) ** 2)), 6) AS rmse, round(corr(t, p), 6) AS cor FROM h GROUP BY signal_id")
+def error_metrics_ignore_nan(s, d):
+    t = F.when(F.col("i") % 4 > 0, F.col("y_true")).otherwise(F.lit(float("nan")))
+    return vector_pairs(s, d).withColumn("t", t).groupBy("signal_id").agg(*[r6(fn(F.col("t"), F.col("y_pred"), True)).alias(n) for n, (fn, _) in metrics.METRICS.items()])
+
+
+@query("SELECT n_nationkey, n_nationkey / 4.0::DOUBLE AS first, (n_nationkey / 4.0 + 0.5)::DOUBLE AS last, 2 AS n FROM nation")
+def frame_times_parse(s, d):
+    k = F.col("n_nationkey") / 4.0
+    csv = F.concat(k.cast("string"), F.lit(",,\n\n"), (k + 0.5).cast("string"), F.lit(",\nN/A\n"))
+    t = read(s, d, "nation").select("n_nationkey", media.parse_frame_times(csv).alias("t"))
+    return t.select("n_nationkey", F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"), F.size("t").alias("n"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE 100 + n_nationkey END::INT AS w, CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE 80 END::INT AS h, CASE WHEN n_nationkey % 2 = 0 THEN -90 ELSE 0 END::INT AS r FROM nation")
+def stream_properties(s, d):
+    k = F.col("n_nationkey")
+    size = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("  Stream #0:0: Video: rawvideo, rgb24, "), (100 + k).cast("string"), F.lit("x80, 25 fps\n")))
+    log = F.concat(F.lit("Output #0\n"), size, F.when(k % 2 == 0, "  displaymatrix: rotation of -90.00 degrees\n").otherwise(""))
+    return read(s, d, "nation").select("n_nationkey", media.stream_properties(log).alias("p")).select("n_nationkey", "p.*")
+
+
+@query("WITH f AS (SELECT n_regionkey AS path, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS frame, n_nationkey AS p FROM nation WHERE n_nationkey % 7 > 1), n AS (SELECT path, greatest(4 - count(*), 0) AS miss FROM f GROUP BY path), a AS (SELECT path, frame + miss AS frame, p FROM f JOIN n USING (path) UNION ALL SELECT path, unnest(range(0, miss)), p FROM f JOIN n USING (path) WHERE frame = 0) SELECT path, frame::INT AS frame, p FROM a WHERE frame < 4")
+def pad_frames(s, d):
+    w = W.partitionBy("n_regionkey").orderBy("n_nationkey")
+    f = read(s, d, "nation").where("n_nationkey % 7 > 1").select(F.col("n_regionkey").alias("path"), (F.row_number().over(w) - 1).cast("int").alias("frame"), F.col("n_nationkey").alias("p"))
+    return media.pad_frames(f, 4)
+
+
+@query(f"WITH {_HIST} SELECT name, step, score, name || '_keep_' || step AS file FROM h WHERE step % 10 = 0")
+def topk_keep(s, d):
+    return topk.keep_all(_history(s, d).where("step % 10 = 0"))
+
+
+@query(f"WITH {_HIST} SELECT name, max(score) AS score FROM h GROUP BY name")
+def best_score(s, d):
+    return topk.best_score(_history(s, d), ["name"], higher=True)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_global(spark, sf_dir)
 

@@ -107,3 +107,24 @@ def test_resize_shapes():
     for how in ("auto", "bilinear", "box", "bicubic", "nearest"):
         assert K.resize(im, 4, 8, how).shape == (4, 8, 3)
     assert K.resize(im, 10, 20) is im
+
+
+@pytest.mark.parametrize("algorithm", ["bicubic", "lanczos3", "bilinear_wide", "area", "nearest"])
+def test_resize_keeps_a_flat_image(algorithm):
+    im = np.full((7, 9, 3), 131, np.uint8)
+    for h, w in ((3, 4), (14, 20), (1, 1)):
+        out = K.resize(im, h, w, algorithm)
+        assert out.shape == (h, w, 3) and (out == 131).all()
+
+
+def test_area_is_the_mean_of_whole_boxes():
+    im = np.random.default_rng(0).integers(0, 256, (6, 8, 1), np.uint8)
+    want = im.reshape(3, 2, 4, 2, 1).mean((1, 3))
+    assert np.abs(K.resize(im, 3, 4, "area") - want).max() <= 0.5
+
+
+def test_filters_interpolate_at_whole_positions():
+    im = np.arange(0, 250, 10, dtype=np.uint8).reshape(5, 5, 1)
+    for algorithm in ("bicubic", "lanczos3"):
+        out = K.separable(im, 15, 15, algorithm)
+        assert (out[1::3, 1::3] == im).all()

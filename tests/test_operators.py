@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import expr
-from pulsegrid.operators import detect, elementwise, image, metrics, physio, roi, topk, windows
+from pulsegrid.operators import augment, detect, elementwise, image, metrics, physio, roi, topk, windows
 from pulsegrid.sources import media
 
 
@@ -148,3 +148,25 @@ def test_streaming_hop(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["out"] for r in spark.table("hop_out").collect()) == [60, 60]
+
+
+def test_random_resize_is_seeded_and_uses_every_method(spark):
+    rows = [(k, 4, 4, 1, bytes(range(16))) for k in range(60)]
+    df = spark.createDataFrame(rows, "frame int, h int, w int, c int, data binary")
+    one = augment.random_resize(df, ["frame"], (3, 2)).orderBy("frame").collect()
+    again = augment.random_resize(df.repartition(3), ["frame"], (3, 2)).orderBy("frame").collect()
+    assert one == again and {r["method"] for r in one} == set(augment.METHODS)
+    assert all((r["h"], r["w"], len(r["data"])) == (3, 2, 6) for r in one)
+
+
+def test_random_distortion(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, y, x, *map(float, rng.random(3))) for k in range(3) for y in range(4) for x in range(4)] + [(9, 0, 0, 0.0, 0.0, 0.0), (9, 0, 1, 0.5, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "frame int, y int, x int, r double, g double, b double")
+    still = augment.random_distortion(df, ["frame"], brightness=0, contrast=0, saturation=0, hue=0)
+    np.testing.assert_allclose(still.orderBy("frame", "y", "x").select("r", "g", "b").collect(), [r[3:] for r in rows], atol=1e-12)
+    # hue and saturation keep the greatest channel; grey stays grey
+    turned = augment.random_distortion(df, ["frame"], brightness=0, contrast=0).orderBy("frame", "y", "x").select("r", "g", "b").collect()
+    np.testing.assert_allclose(np.max(turned, 1), [max(r[3:]) for r in rows], atol=1e-12)
+    assert tuple(turned[-1]) == (0.5, 0.5, 0.5)
+    assert not np.allclose(turned[:48], [r[3:] for r in rows[:48]])
