@@ -40,6 +40,11 @@ def r6(x) -> Column:
     return F.round(F.nanvl(x.cast("double"), F.lit(None).cast("double")), 6)
 
 
+def _power_sql(nfft: int, low: float, high: float, step: str) -> str:
+    """Power of zero-padded 64-sample signals at the frequencies k * step within [low, high]."""
+    return f"WITH {EM}, k AS (SELECT k, k * ({step}) AS f FROM (SELECT unnest(range(0, {nfft // 2 + 1})) AS k) WHERE k * ({step}) BETWEEN {low} AND {high}), c AS (SELECT signal_id, k, f, sum(val * cos(-2 * pi() / {nfft} * k * i)) AS re, sum(val * sin(-2 * pi() / {nfft} * k * i)) AS im FROM em, k GROUP BY ALL), pw AS (SELECT signal_id, k, f, re * re + im * im AS p FROM c)"
+
+
 # --- rates and variability -------------------------------------------------------
 
 
@@ -112,7 +117,7 @@ def hr_rolling_from_signal(s, d):
     return physio.hr_from_signal(vector_signals(s, d), KEY, 8.0, window=32).select("signal_id", "i", r6("out").alias("rate"))
 
 
-@query()
+@query(_power_sql(480, 1 / 60, 1.0, "1 / 120.0::DOUBLE") + " SELECT signal_id, round(arg_max(f, p) * 60, 6) AS rate FROM pw GROUP BY signal_id")
 def rr_from_signal(s, d):
     return physio.rr_from_signal(vector_signals(s, d), KEY, 4.0).select("signal_id", r6("rate").alias("rate"))
 
@@ -323,7 +328,7 @@ def class_weights(s, d):
     return metrics.balanced_weights(read(s, d, "embeddings").select("vec_id", "label"), "label").select("vec_id", "label", r6("weight").alias("weight"))
 
 
-@query()
+@query(_power_sql(64, 0.5, 4.0, "0.25::DOUBLE") + ", q AS (SELECT signal_id, sum(p) FILTER (k IN (6, 12)) AS s, sum(p) FILTER (k NOT IN (6, 12)) AS n FROM pw GROUP BY signal_id) SELECT signal_id, round(10 * log10(s / n), 6) AS snr FROM q")
 def snr_db(s, d):
     v = vector_signals(s, d).withColumn("f_true", F.lit(1.5))
     return metrics_snr(v)
@@ -354,7 +359,7 @@ def most_periodic(s, d):
     return spectral.most_periodic(v, ["label"], "signal_id", 64)
 
 
-@query()
+@query(_power_sql(128, 0.5, 12.0, "0.25::DOUBLE") + " SELECT signal_id, round(arg_max(f, p), 6) AS freq FROM pw GROUP BY signal_id")
 def freq_periodogram(s, d):
     return spectral.estimate_freq(vector_signals(s, d), KEY, 32.0, (0.5, 12.0), 0.25).select("signal_id", r6("out").alias("freq"))
 
