@@ -8,7 +8,7 @@
    bucket keys: a pair of similarity 0.8 shares a bucket but for 3 in a million.
 3. Candidate edges are stars: the members of a bucket are compared with one
    centre, the member that shares most with others over all its buckets. Edges are confirmed on the full sets, components found
-   by label propagation; members of one component are not compared again.
+   by hooking and contraction, whose rounds grow with the logarithm of the graph, until no edge is left; members of one component are not compared again.
 4. Where a bucket still holds several components, each member's set is taken as
    its difference to the bucket's centre. Members linked with the centre join it.
    Others are similar to each other only if their differences share a known
@@ -150,20 +150,48 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return p.select("a", "b", "sa", "sb").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
-def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, comp: the least node reachable, by label propagation with jumps; nodes without edges are absent."""
-    both = materialize(spark, edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-graph")
-    label = materialize(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "near-labels")
+def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """node, comp: the least node reachable, by hooking and contraction; nodes without edges are absent.
+
+    Each round every node hooks onto its least neighbour. Only two nodes can hook onto
+    each other (the lesser is the root then), longer cycles cannot be; each root takes
+    in another node at least, so the nodes that still have edges are halved.
+    """
+    graph = materialize(spark, edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "near-graph")
+    own = None
     for _ in range(most_rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        step = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        new = step.join(jump, "comp").select("node", "old", F.least("comp", "root").alias("comp"))
-        new = materialize(spark, new, "near-labels")
-        label = new.select("node", "comp")
-        if not new.where("old <> comp").limit(1).count():
+        if not graph.limit(1).count():
             break
-    return label
+        hook = graph.groupBy("a").agg(F.min("b").alias("up"))
+        back = hook.select(F.col("a").alias("up"), F.col("up").alias("back"))
+        root = hook.join(back, "up").select(F.col("a").alias("node"), F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("up")), F.col("a")).otherwise(F.col("up")).alias("up"))
+        root = _roots(spark, materialize(spark, root, "near-hooks"), most_rounds)
+        if own is None:
+            own = root
+        else:
+            later = root.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            own = materialize(spark, own.join(later, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "near-labels")
+        x, y = (root.select(F.col("node").alias(c), F.col("up").alias("r" + c)) for c in "ab")
+        graph = graph.join(x, "a").join(y, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        graph = materialize(spark, graph, "near-graph")
+    else:
+        if graph.limit(1).count():
+            raise RuntimeError(f"components: edges are left after {most_rounds} rounds")
+    if own is None:
+        return graph.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    least = own.groupBy("up").agg(F.min("node").alias("comp"))
+    return materialize(spark, own.join(least, "up").select("node", "comp"), "near-labels")
+
+
+def _roots(spark: SparkSession, up: DataFrame, most_rounds: int) -> DataFrame:
+    """node, up: the root of each node's tree; each round halves the way to it."""
+    for _ in range(most_rounds):
+        jump = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        new = materialize(spark, up.join(jump, "up").select("node", F.col("up").alias("old"), F.col("top").alias("up")), "near-hooks")
+        up = new.select("node", "up")
+        if not new.where("old <> up").limit(1).count():
+            return up
+    raise RuntimeError(f"components: no roots after {most_rounds} rounds")
 
 
 def _mixed(members: DataFrame) -> DataFrame:

@@ -205,6 +205,30 @@ def test_a_large_group_around_one_text_loses_no_link(docs_of):
     assert 1 < len(set(want)) < len(want)
 
 
+def test_components_of_long_paths(spark):
+    rng = random.Random(3)
+    edges, least = [], {}
+    for first, n in ((0, 1000), (1000, 2), (1002, 300)):
+        ids = list(range(first, first + n))
+        if n == 1000:
+            rng.shuffle(ids)
+        edges += [tuple(rng.sample(e, 2)) for e in zip(ids, ids[1:], strict=False)]
+        least |= dict.fromkeys(ids, first)
+    got = near_dedup.components(spark, spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["comp"] for r in got.collect()} == least
+    assert near_dedup.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        near_dedup.components(spark, spark.createDataFrame(edges, "a long, b long"), most_rounds=1)
+
+
+def test_a_chain_of_near_copies_is_one_group(docs_of):
+    # each text is similar to its neighbours in the chain only: 88 of 104 shingles, then 80 of 112
+    texts = [" ".join(f"v{i}" for i in range(8 * k, 8 * k + 100)) for k in range(1000)]
+    random.Random(5).shuffle(texts)
+    got = by_id(near_dedup.near_duplicates(docs_of(texts)))
+    assert {r.component_id for r in got.values()} == {0} and [i for i, r in got.items() if r.kept] == [0]
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2))
