@@ -1,7 +1,9 @@
 """Licence scans by a trained paragraph classifier, in DataFrame expressions only.
 
-A unit is a line of text, or a window of 64 words of a longer one. A multinomial
-logistic regression on hashed words and word pairs assigns each unit a licence
+A unit is a line of text, or a window of 64 words of a longer one; a paragraph of
+several lines (paragraphs end at lines without words) also gives its windows of 64
+words that reach over a line's end, so that notices wrapped over lines are whole in
+one unit. Marks of comments are no part of a unit. A multinomial logistic regression on hashed words and word pairs assigns each unit a licence
 family or "unknown"; a family counts only if its probability passes a threshold
 calibrated on the unknown examples. A prediction is then confirmed by comparing
 the unit with the family's templates: enough of a template's 3-word shingles
@@ -23,6 +25,9 @@ from pulsegrid.llm import logistic
 from pulsegrid.llm.common import TERM, ascii_lower, let
 
 DIM, WINDOW = 4096, 64
+#: Marks of comments that are words (others have no letters), and what parts paragraphs: line ends with no word between them.
+COMMENT = r"(?m)^[ \t]*(?:dnl|rem|REM|C)[ \t]+"
+BREAK = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
 
 #: Notices by which the families are declared.
 TEMPLATES = {
@@ -95,23 +100,42 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), TERM.replace("[^", "[")), lambda w: w != "")
 
 
+def hashes_of(text: Column) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
 def units_of(text: Column) -> Column:
-    """Word lists of lines, long lines cut into windows that overlap by half."""
+    """Lists of word hashes: lines, and windows of paragraphs that reach over a line's end; windows overlap by half."""
     step = WINDOW // 2
 
+    def starts(w: Column) -> Column:
+        return F.sequence(F.lit(0), F.greatest(F.size(w) - step - 1, F.lit(0)), F.lit(step))
+
     def cut(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - step - 1, F.lit(0)), F.lit(step)), lambda s: F.slice(w, s + 1, WINDOW))
+        return F.transform(starts(w), lambda s: F.slice(w, s + 1, WINDOW))
+
+    def across(lines: Column) -> Column:
+        line_of = F.flatten(F.transform(lines, lambda w, i: F.array_repeat(i, F.size(w))))
+
+        def windows(w: Column, at: Column) -> Column:
+            over = F.filter(starts(w), lambda s: F.get(at, s) != F.get(at, F.least(s + WINDOW, F.size(w)) - 1))
+            return F.transform(over, lambda s: F.slice(w, s + 1, WINDOW))
+
+        return F.when(F.size(lines) > 1, let(F.flatten(lines), lambda w: let(line_of, lambda at: windows(w, at)))).otherwise(F.array().cast("array<array<bigint>>"))
+
+    def paragraph(lines: Column) -> Column:
+        return F.concat(F.flatten(F.transform(lines, cut)), across(lines))
 
-    lines = F.transform(F.split(text, "\n"), lambda line: let(words_of(line), cut))
-    return F.filter(F.flatten(lines), lambda w: F.size(w) > 0)
+    parts = F.split(F.regexp_replace(text, COMMENT, ""), BREAK)
+    units = F.flatten(F.transform(parts, lambda p: let(F.transform(F.split(p, "\n"), hashes_of), paragraph)))
+    return F.filter(units, lambda w: F.size(w) > 0)
 
 
 def features(words: Column) -> Column:
-    """Distinct buckets of words and word pairs."""
+    """Distinct buckets of (hashed) words and word pairs."""
     n = F.size(words)
-    single = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get(words, i), F.coalesce(F.get(words, i + 1), F.lit("$"))))
-    return F.array_distinct(F.transform(F.concat(single, pairs), lambda h: F.pmod(h, F.lit(DIM)).cast("int")))
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get(words, i), F.coalesce(F.get(words, i + 1), F.lit(0))))
+    return F.array_distinct(F.transform(F.concat(words, pairs), lambda h: F.pmod(h, F.lit(DIM)).cast("int")))
 
 
 def shingles(words: Column) -> Column:
@@ -147,7 +171,7 @@ def probabilities(model: logistic.Linear, idx: Column) -> Column:
 
 def train(spark: SparkSession, reg: float = 0.001) -> tuple[logistic.Linear, float]:
     """The model, and the family probability that no unknown example reaches (at least 0.5)."""
-    rows = training_table(spark).select("label", features(words_of(F.col("text"))).alias("idx"))
+    rows = training_table(spark).select("label", features(hashes_of(F.col("text"))).alias("idx"))
     model = logistic.fit(rows, DIM, reg)
     p = probabilities(model, F.col("idx"))
     best = F.array_max(F.slice(p, 1, len(FAMILIES)))
@@ -176,7 +200,7 @@ def _covers(own: Column, share: float):
 
 
 def _template(text: str) -> Column:
-    return let(words_of(F.lit(text)), shingles)
+    return let(hashes_of(F.lit(text)), shingles)
 
 
 def license_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", share: float = 0.6, model: tuple[logistic.Linear, float] | None = None) -> DataFrame:

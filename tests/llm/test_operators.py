@@ -293,6 +293,26 @@ def test_license_families(docs_of, odd):
     assert all(sure[i] == [] for i in range(4, 4 + len(odd)))
 
 
+def test_wrapped_licenses(docs_of):
+    import textwrap
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    prose = " ".join(f"Plain sentence number {i} of this story." for i in range(30))
+    marks = ["", "# ", " * ", "// ", "dnl ", "REM "]
+    texts, want = [], []
+    for family, text in (("MIT", mit), ("BSD", bsd), ("GPL", gpl), (None, prose)):
+        for k, width in enumerate((60, 66, 70, 72, 76, 80)):
+            lines = [marks[k] + x for x in textwrap.wrap(text, width)]
+            head = [marks[k] + "Copyright (c) 2019 The Authors", marks[k].rstrip() if k < 4 else ""]
+            texts.append("\n".join([*head, *lines, marks[k].rstrip() if k < 4 else "", marks[k] + "int main"]))
+            want.append([family] if family else [])
+    df = license_scan.license_scan(docs_of(texts))
+    sure = {r.doc_id: sorted({x.family for x in r.found if x.confirmed}) for r in df.collect()}
+    assert [sure[i] for i in range(len(texts))] == want
+
+
 def test_empty_tables(spark, docs_of):
     d = docs_of([])
     lab = spark.createDataFrame([], "doc_id long, toxic int")
