@@ -1,4 +1,4 @@
-"""Streaming forms of the time windows: hop windows with a watermark, and an online top-k."""
+"""Streaming forms of the time windows: hop windows and rates with a watermark."""
 
 from __future__ import annotations
 
