@@ -31,10 +31,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document that holds eight words running of any benchmark item goes."""
+    """A document that holds eight words running of any benchmark item goes; items of fewer words remove none."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    hit = decontam.hits(keyed, items).select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h")).distinct()
+    hit = decontam.hits(keyed, items).where(F.col("last") - F.col("first") >= decontam.SPAN).select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h")).distinct()
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(docs["text"]) == hit["hit_h"]), "left_anti").select(*docs.columns)
 
 

@@ -326,6 +326,16 @@ def test_empty_tables(spark, docs_of):
     assert secret_scan.secret_scan(d).count() == 0
 
 
+def test_pipeline_keeps_what_holds_short_items(spark, docs_of, tmp_path):
+    import corpus_pipeline
+
+    items = [(0, "the"), (1, "a b c d e f g"), (2, "one two three four five six seven eight nine")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = docs_of(["the story", "x a b c d e f g y", "so two three four five six seven eight nine"])
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, 1]
+
+
 def test_pipeline_on_small_tables(spark):
     import corpus_pipeline
 
