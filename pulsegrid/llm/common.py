@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,13 +32,23 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound the session's Arrow batches by bytes, so that long texts don't fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, most)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder all executors share; one temporary folder per session where none is set, in local mode only (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("pulsegrid.tmp.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
-        spark.conf.set("pulsegrid.tmp.dir", base) if spark.conf.get("pulsegrid.tmp.dir", None) is None else None
-        base = spark.conf.get("pulsegrid.tmp.dir")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="pulsegrid-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.conf.set("pulsegrid.tmp.dir", base := f"file://{own}")
     return base.rstrip("/")
 
 

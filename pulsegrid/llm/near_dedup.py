@@ -1,28 +1,31 @@
 """Near-duplicates by one-permutation MinHash with optimal densification.
 
 1. Each text becomes the sorted set of its shingle hashes; equal sets form a
-   class, represented by its smallest id, so copies cost one row from here on.
+   class, so copies cost one row from here on.
 2. A class's set is cut into 256 bins by the top bits of the hashes; the least
    hash of each bin is the signature, empty bins borrow from a full one in an
    order of their own (a random permutation per bin). 42 bands of 6 bins are the
    bucket keys: a pair of similarity 0.8 shares a bucket but for 3 in a million.
 3. Candidate edges are stars: the members of a bucket are compared with one
-   centre, the member that shares most with others over all its buckets. Edges are confirmed on the full sets, components found
-   by hooking and contraction, whose rounds grow with the logarithm of the graph, until no edge is left; members of one component are not compared again.
-4. Where a bucket still holds several components, each member's set is taken as
-   its difference to the bucket's centre. Members linked with the centre join it.
-   Others are similar to each other only if their differences share a known
-   number of elements, so only members that share one of the rarest elements of
-   their differences are compared: a star loses no link, and the number of pairs
-   follows what members have in common beyond the centre, not the bucket's size.
+   centre, the member of the least digest, so that the buckets of one cluster
+   mostly share a centre. A member's set is kept as its difference to the
+   centre's; members linked with the centre join it.
+4. Other members are similar to each other only if their differences share a
+   known number of elements, so only members of different components that share
+   one of the rarest elements of their differences are compared. Where more than
+   ``MOST`` members share one, they form a bucket again, with a centre of its own
+   (step 3): a star loses no link, and no group is compared pair by pair.
+   A member's centres rise from round to round, so the rounds end.
+5. Components are found by hooking and contraction, whose rounds grow with the
+   logarithm of the graph.
 
 Intermediate tables are written to the shared folder; only counts come to the
-driver.
+driver. Centres of many members are salted, so that no task gets all of them.
 
 Defined results: texts that are null or have no words have no shingles and are
-linked with nothing; rows with a null id are never linked; rows that repeat an
-id are linked as their texts are; one output row per input row; an empty table
-gives an empty table.
+linked with nothing; rows with a null id are never linked and have no component;
+rows that repeat an id are linked as their own texts are; one output row per
+input row; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,10 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import materialize
+from pulsegrid.llm.common import materialize, small_batches
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
+#: Members that share an element are compared pair by pair up to so many; more form a bucket.
+MOST = 32
+#: A centre's set is sent once for so many members.
+SALTED = 256
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, size=BINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: _TURN[i, j]: when the empty bin i asks the bin j.
 _TURN = np.argsort(np.random.default_rng(11).random((BINS, BINS)), axis=1).argsort(axis=1).astype(np.int32)
@@ -54,7 +61,7 @@ class WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000 and len(word) <= 64:
+        if len(self) < 100_000 and len(word) <= 32:
             self[word] = h
         return h
 
@@ -92,47 +99,70 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, n (shingles), sig (digest of the set, null if empty), bands."""
-    d = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    """id, h (digest of the text), n (shingles), sig (digest of the set, null if empty), bands."""
+    d = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
     id_type = d.schema["id"].dataType.simpleString()
 
     def run(batches):
         known = WordHash()
         for b in batches:
             n, sig, keys = [], [], []
-            for raw in pc.fill_null(b.column(1), "").cast(pa.binary()):
+            for raw in pc.fill_null(b.column(2), "").cast(pa.binary()):
                 s = shingle_set(raw.as_py(), size, known)
                 n.append(len(s))
-                sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sig.append(_digest(s) if len(s) else None)
                 if len(s):
                     keys.append(bands(signature(s)))
             lengths = np.r_[0, np.cumsum([BANDS if x else 0 for x in n])].astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], ["id", "n", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], ["id", "h", "n", "sig", "bands"])
 
-    return d.mapInArrow(run, f"id {id_type}, n int, sig binary, bands array<long>")
+    return d.mapInArrow(run, f"id {id_type}, h long, n int, sig binary, bands array<long>")
 
 
-def shingle_table(df: DataFrame, size: int) -> DataFrame:
-    """id, t -> id, s (bytes of the sorted shingle hashes)."""
-    id_type = df.schema["id"].dataType.simpleString()
+def _digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """t -> sig, s (bytes of the sorted shingle hashes)."""
 
     def run(batches):
         known = WordHash()
         for b in batches:
-            s = [shingle_set(raw.as_py(), size, known).tobytes() for raw in pc.fill_null(b.column(1), "").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["id", "s"])
+            sets = [shingle_set(raw.as_py(), size, known) for raw in pc.fill_null(b.column(0), "").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "s"])
+
+    return texts.select("t").mapInArrow(run, "sig binary, s binary")
+
 
-    return df.select("id", "t").mapInArrow(run, f"id {id_type}, s binary")
+def _sets(spark: SparkSession, stars: DataFrame, classes: DataFrame, docs: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
+    """x, sig, s of every class that is in a star."""
+    wanted = stars.select(F.explode(F.array("centre", "x")).alias("x")).distinct()
+    wanted = materialize(spark, classes.join(wanted, "x").select("x", "sig", F.col("rep").alias("id")), "near-wanted")
+    ids = wanted.select("id").distinct()
+    # counted, so that only a table of a known size is broadcast; beyond that the join is a shuffled one
+    ids = F.broadcast(ids) if wanted.count() <= broadcast_rows else ids
+    # (an id can stand on several rows and texts; the digest tells which set is meant, and each is kept once)
+    found = shingle_sets(docs.join(ids, "id", "left_semi"), size).groupBy("sig").agg(F.first("s").alias("s"))
+    return materialize(spark, wanted.select("x", "sig").join(found, "sig"), "near-sets")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(spark, shingle_table(docs.join(ids, "id", "left_semi"), size), "near-sets")
-    p = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    id_type = pairs.schema["a"].dataType.simpleString()
+def _pairs_with_sets(pairs: DataFrame, sets: DataFrame, left: str, right: str) -> DataFrame:
+    """pairs of ``left`` and ``right`` (named as in ``sets``: x or sig) with both sets; a hot ``left`` is salted."""
+    key = "x" if "x" in (left, right) else "sig"
+    hot = pairs.groupBy(left).agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64(right), F.greatest(F.col("salts"), F.lit(1))).cast("int")
+    dealt = pairs.join(hot, left).withColumn("salt", salt).drop("salts")
+    one = hot.join(sets.select(F.col(key).alias(left), F.col("sig").alias("sig_l"), F.col("s").alias("sl")), left)
+    one = one.select(left, "sig_l", "sl", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    other = sets.select(F.col(key).alias(right), F.col("sig").alias("sig_r"), F.col("s").alias("sr"))
+    return dealt.join(other, right).join(one, [left, "salt"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set digests whose full sets reach the similarity."""
+    p = _pairs_with_sets(pairs, sets, "a", "b").select("a", "b", "sl", "sr")
 
     def run(batches):
         for batch in batches:
@@ -147,11 +177,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return p.select("a", "b", "sa", "sb").mapInArrow(run, f"a {id_type}, b {id_type}")
+    return p.mapInArrow(run, "a binary, b binary")
 
 
-def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """node, comp: the least node reachable, by hooking and contraction; nodes without edges are absent.
+def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64) -> DataFrame | None:
+    """node, comp: the least node reachable, by hooking and contraction; nodes without edges are absent (None if all are).
 
     Each round every node hooks onto its least neighbour. Only two nodes can hook onto
     each other (the lesser is the root then), longer cycles cannot be; each root takes
@@ -178,7 +208,7 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64) ->
         if graph.limit(1).count():
             raise RuntimeError(f"components: edges are left after {most_rounds} rounds")
     if own is None:
-        return graph.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        return None
     least = own.groupBy("up").agg(F.min("node").alias("comp"))
     return materialize(spark, own.join(least, "up").select("node", "comp"), "near-labels")
 
@@ -194,52 +224,19 @@ def _roots(spark: SparkSession, up: DataFrame, most_rounds: int) -> DataFrame:
     raise RuntimeError(f"components: no roots after {most_rounds} rounds")
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components."""
-    keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return members.join(keys, "key", "left_semi")
-
-
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def _star(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """One centre per bucket, and for each member one or two of its centres in other components.
-
-    At first centres are the members that share most with others; later rounds draw them anew.
-    """
-    rank = F.struct("pop", F.xxhash64("rep")) if k == 0 else F.struct(F.xxhash64("rep", F.lit(k), "key"))
-    centre = members.groupBy("key").agg(F.max_by(F.struct("rep", "n", "comp", "pop"), rank).alias("c"))
-    near = members.join(centre, "key").where(f"comp <> c.comp AND 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
-    if k == 0:
-        picked = near.groupBy("rep").agg(F.max_by("c.rep", F.struct("c.pop", "c.rep")).alias("other"))
-    else:
-        both = [F.max_by("c.rep", F.xxhash64("c.rep", "rep", F.lit(k + 0.5 * j))) for j in range(2)]
-        picked = near.groupBy("rep").agg(F.array(*both).alias("others")).select("rep", F.explode("others").alias("other"))
-    return picked.select(*_pair("rep", "other")).distinct()
-
-
-def _differences(spark: SparkSession, members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """centre, rep, n, nc, linked, diff: how each member's set differs from the centres of its buckets.
+def _differences(spark: SparkSession, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """centre, sig, x, n, nc, linked, diff: how each member's set differs from its centre's.
 
     ``n`` and ``nc`` are the sizes of the member's and the centre's set, ``diff`` is
     their symmetric difference, ``linked`` tells whether they reach the similarity.
     """
-    centre = members.groupBy("key").agg(F.max_by("rep", F.struct((-F.floor(F.log("n") / F.log(F.lit(1.1)))).alias("small"), "pop", "rep")).alias("centre"))
-    both = members.select("key", "rep").join(centre, "key").where("rep <> centre").select("centre", "rep").distinct()
-    both = materialize(spark, both, "near-centres")
-    ids = both.select(F.explode(F.array("centre", "rep")).alias("id")).distinct()
-    sets = materialize(spark, shingle_table(docs.join(ids, "id", "left_semi"), size), "near-sets")
-    own = both.join(sets.select(F.col("id").alias("rep"), F.col("s").alias("sx")), "rep")
-    pairs = own.join(sets.select(F.col("id").alias("centre"), F.col("s").alias("sc")), "centre")
-    id_type = members.schema["rep"].dataType.simpleString()
-    names = ["centre", "rep", "n", "nc", "linked", "diff"]
+    pairs = _pairs_with_sets(stars, sets, "centre", "x")
+    names = ["centre", "sig", "x", "n", "nc", "linked", "diff"]
 
     def run(batches):
         for batch in batches:
             n, nc, linked, diffs = [], [], [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
                 u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 d = np.setxor1d(u, v, assume_unique=True)
                 total = len(u) + len(v)
@@ -249,14 +246,15 @@ def _differences(spark: SparkSession, members: DataFrame, docs: DataFrame, size:
                 diffs.append(d.view(np.int64))
             ends = np.r_[0, np.cumsum([len(d) for d in diffs])].astype(np.int32)
             flat = np.concatenate(diffs) if diffs else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(nc, pa.int32()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int32()), pa.array(nc, pa.int32()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names)
 
-    schema = f"centre {id_type}, rep {id_type}, n int, nc int, linked boolean, diff array<long>"
-    return materialize(spark, pairs.select("centre", "rep", "sx", "sc").mapInArrow(run, schema), "near-differences")
+    schema = "centre binary, sig binary, x long, n int, nc int, linked boolean, diff array<long>"
+    return materialize(spark, pairs.select("sig_l", "sig_r", "x", "sr", "sl").mapInArrow(run, schema), "near-differences")
 
 
-def _sharing(diffs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one centre, in different components, that can still be similar.
+def _sharing(diffs: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
+    """centre, e, sig, x, n, comp, linked, d, first, rest: the elements by which members of one
+    centre, in different components, can still be found to be similar.
 
     Sets x and y are similar if |x ^ y| <= f (|x| + |y|), f = (100 - percent) / (100 + percent).
     With dx = x ^ c and dy = y ^ c, |x ^ y| = |dx| + |dy| - 2 |dx & dy|, and
@@ -265,76 +263,102 @@ def _sharing(diffs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     (|dx| - f (|x| + |c|)) / 2 if it is. By the pigeonhole principle the rarest elements
     of dx, up to that many from the end, meet those of dy; elements of
     a single member meet none. Two members linked with the centre are in one component.
-    Of an element that is the first they share, what follows in both must be enough
-    for the number that the two sizes call for.
     """
     up, down = 100 + percent, 100 - percent
-    diffs = diffs.join(label, "rep")
+    diffs = _labelled(diffs, label)
     several = diffs.groupBy("centre").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("centre")
     diffs = diffs.join(several, "centre", "left_semi")
-    each = diffs.select("centre", "rep", F.explode("diff").alias("e"))
+    each = diffs.select("centre", "sig", F.explode("diff").alias("e"))
     shared = each.groupBy("centre", "e").agg(F.count("*").alias("c")).where("c > 1")
-    found = each.join(shared, ["centre", "e"]).groupBy("centre", "rep").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))
-    sized = found.join(diffs.select("centre", "rep", "n", "nc", "linked", "comp", F.size("diff").cast("long").alias("d")), ["centre", "rep"])
+    found = each.join(shared, ["centre", "e"]).groupBy("centre", "sig").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))
+    sized = found.join(diffs.select("centre", "sig", "x", "n", "nc", "linked", "comp", F.size("diff").cast("long").alias("d")), ["centre", "sig"])
     alone = F.expr("d - size(es)")
     short = F.expr(f"d - ({up}L * d + {down} * (nc - n)) div {2 * up}")
     most = F.expr(f"d - ({up}L * d - {down} * (nc + n) + {2 * up - 1}) div {2 * up} + 1")
-    placed = sized.select("centre", "rep", "n", "comp", "linked", short.alias("near"), "d", alone.alias("alone"), F.posexplode(F.slice("es", 1, F.greatest(F.when(F.col("linked"), short).otherwise(F.greatest(short, most)) - alone, F.lit(0)).cast("int"))).alias("at", "ce"))
-    placed = placed.select("centre", F.col("ce.e").alias("e"), "rep", "n", "comp", "linked", "d", (F.col("alone") + F.col("at") < F.col("near")).alias("first"), (F.col("d") - F.col("alone") - F.col("at")).alias("rest"))
-    side = ["rep", "n", "comp", "linked", "d", "first", "rest"]
+    placed = sized.select("centre", "sig", "x", "n", "comp", "linked", short.alias("near"), "d", alone.alias("alone"), F.posexplode(F.slice("es", 1, F.greatest(F.when(F.col("linked"), short).otherwise(F.greatest(short, most)) - alone, F.lit(0)).cast("int"))).alias("at", "ce"))
+    return placed.select("centre", F.col("ce.e").alias("e"), "sig", "x", "n", "comp", "linked", "d", (F.col("alone") + F.col("at") < F.col("near")).alias("first"), (F.col("d") - F.col("alone") - F.col("at")).alias("rest"))
+
+
+def _small_groups(placed: DataFrame, small: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members that share a placed element.
+
+    Of an element that is the first they share, what follows in both must be enough
+    for the number that the two sizes call for.
+    """
+    up, down = 100 + percent, 100 - percent
+    placed = placed.join(small, ["centre", "e"], "left_semi")
+    side = ["sig", "n", "comp", "linked", "d", "first", "rest"]
     x, y = (placed.select("centre", "e", *[F.col(c).alias(c + k) for c in side]) for k in "xy")
     near = x.where("NOT linkedx").join(y.where("firsty"), ["centre", "e"])
     enough = f"{2 * up}L * least(restx, resty) >= {up} * (dx + dy) - {down} * (nx + ny)"
-    near = near.where(f"compx <> compy AND {enough} AND (linkedy OR firstx AND repx < repy) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    return near.select(*_pair("repx", "repy")).distinct()
+    near = near.where(f"compx <> compy AND {enough} AND (linkedy OR firstx AND sigx < sigy) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    return near.select(F.least("sigx", "sigy").alias("a"), F.greatest("sigx", "sigy").alias("b")).distinct()
 
 
-def _merge(spark: SparkSession, label: DataFrame | None, reps: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """rep, comp after further edges; the graph of the components so far is what is labelled."""
+def _labelled(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
+    """``nodes`` (sig, ...) with ``comp``; a class without a label is a component by itself."""
     if label is None:
-        label = reps.select("rep", F.col("rep").alias("comp"))
-    x, y = label.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), label.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    between = edges.join(x, "a").join(y, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    new = components(spark, between)
-    out = label.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
-    return materialize(spark, out.select("rep", F.coalesce("root", "comp").alias("comp")), "near-labels")
+        return nodes.withColumn("comp", F.col("sig"))
+    named = label.select(F.col("node").alias("sig"), F.col("comp").alias("own"))
+    return nodes.join(named, "sig", "left").withColumn("comp", F.coalesce("own", "sig")).drop("own")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, stars: int = 1) -> DataFrame:
-    """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
+def _merge(spark: SparkSession, label: DataFrame | None, edges: DataFrame) -> DataFrame | None:
+    """node, comp after further edges (a, b); the graph of the components so far is what is labelled."""
+    if label is None:
+        return components(spark, edges)
+    ends = edges
+    for c in "ab":
+        ends = ends.join(label.select(F.col("node").alias(c), F.col("comp").alias("c" + c)), c, "left")
+    new = components(spark, ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    if new is None:
+        return label
+    old = label.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    return materialize(spark, old.unionByName(new.join(label, "node", "left_anti").select("node", "comp")), "near-labels")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, broadcast_rows: int = 500_000, detail: bool = False) -> DataFrame:
+    """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``.
+
+    With ``detail`` also ``h`` (xxhash64 of the text) and ``first``: whether the row's id
+    and text are the ones that stand for the component, also where ids are repeated.
+    """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    all_ = materialize(spark, sketch(df, id_col, text_col, shingle), "near-sketch")
-    classes = all_.where("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("rep"))
-    reps = all_.join(classes.select(F.col("sig").alias("s2"), "rep"), F.expr("id = rep AND sig = s2"), "left_semi")
-    rows = reps.select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
-    keys = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    held = materialize(spark, rows.join(keys.select("key", "c"), "key"), "near-buckets")
-    central = held.groupBy("rep").agg(F.sum(F.log2("c")).alias("pop"))
-    members = held.select("key", "rep", "n").join(central, "rep").select("key", "rep", "n", "pop", F.col("rep").alias("comp"))
-    label, tested = None, None
-    for k in range(stars):
-        if k:
-            members = _mixed(members.drop("comp").join(label, "rep"))
-            members = materialize(spark, members, "near-mixed")
-        pairs = _star(members, k, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(spark, pairs, "near-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        edges = materialize(spark, confirm(pairs, docs, shingle, percent), "near-edges")
-        label = _merge(spark, label, held.select("rep").distinct() if label is None else None, edges)
-    left = materialize(spark, _mixed(members.drop("comp").join(label, "rep")), "near-mixed")
-    if left.limit(1).count():
-        diffs = _differences(spark, left, docs, shingle, percent)
-        label = _merge(spark, label, None, diffs.where("linked").select(*_pair("centre", "rep")))
-        pairs = materialize(spark, _sharing(diffs, label, percent).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        label = _merge(spark, label, None, confirm(pairs, docs, shingle, percent))
-    label = label.withColumnRenamed("rep", "node") if label is not None else None
-
-    out = all_.select("id", "n", "sig").join(classes, "sig", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    comp = F.coalesce("comp", "rep", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
+    small_batches(spark)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    rows = materialize(spark, sketch(df, id_col, text_col, shingle), "near-sketch")
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    classes = materialize(spark, classes.withColumn("x", F.xxhash64("sig")), "near-classes")
+    reps = rows.join(classes.select(F.col("sig").alias("s2"), "rep", "x"), F.expr("id = rep AND sig = s2")).select("x", F.explode("bands").alias("key"))
+    ends = reps.groupBy("key").agg(F.min("x").alias("centre"), F.max("x").alias("top")).where("centre <> top").select("key", "centre")
+    stars = reps.join(ends, "key").where("x <> centre").select("centre", "x").distinct()
+    label = None
+    while True:
+        stars = materialize(spark, stars, "near-stars")
+        if not stars.limit(1).count():
+            break
+        sets = _sets(spark, stars, classes, docs, shingle, broadcast_rows)
+        diffs = _differences(spark, stars, sets, percent)
+        label = _merge(spark, label, diffs.where("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
+        placed = materialize(spark, _sharing(diffs, label, percent), "near-placed")
+        groups = placed.groupBy("centre", "e").agg(F.min("x").alias("next"), F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        pairs = materialize(spark, _small_groups(placed, groups.where(F.col("c") <= MOST).select("centre", "e"), percent), "near-pairs")
+        label = _merge(spark, label, confirm(pairs, sets, percent))
+        large = groups.where(F.col("c") > MOST).select("centre", "e", "next")
+        stars = placed.select("centre", "e", "x").join(large, ["centre", "e"]).where("x <> next").select(F.col("next").alias("centre"), "x").distinct()
+
+    if label is None:
+        named = classes.where("copies > 1").select("sig", F.col("rep").alias("cid"), F.col("sig").alias("stands"))
+    else:
+        known = _labelled(classes.select("sig", "rep", "copies"), label)
+        least = label.join(classes.select(F.col("sig").alias("node"), "rep"), "node").groupBy("comp").agg(F.min(F.struct("rep", F.col("node").alias("sig"))).alias("least"))
+        named = known.join(least, "comp", "left").where("copies > 1 OR least IS NOT NULL").select("sig", F.coalesce("least.rep", "rep").alias("cid"), F.coalesce("least.sig", "sig").alias("stands"))
+    # a class of one row without links is its own component, so hot classes alone make the left side uneven, which is split
+    out = rows.select("id", "h", "n", "sig").join(named.withColumnRenamed("sig", "of"), F.col("sig") == F.col("of"), "left")
+    comp = F.when(F.col("id").isNotNull(), F.coalesce("cid", "id"))
+    same = F.coalesce(comp == F.col("id"), F.lit(True))
+    extra = [F.col("h"), (same & F.coalesce(F.col("stands") == F.col("sig"), F.lit(True))).alias("first")] if detail else []
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), comp.alias("component_id"), same.alias("kept"), *extra)
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

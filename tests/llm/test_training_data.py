@@ -216,7 +216,7 @@ def test_components_of_long_paths(spark):
         least |= dict.fromkeys(ids, first)
     got = near_dedup.components(spark, spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["comp"] for r in got.collect()} == least
-    assert near_dedup.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+    assert near_dedup.components(spark, spark.createDataFrame([], "a long, b long")) is None
     with pytest.raises(RuntimeError):
         near_dedup.components(spark, spark.createDataFrame(edges, "a long, b long"), most_rounds=1)
 
@@ -229,6 +229,34 @@ def test_a_chain_of_near_copies_is_one_group(docs_of):
     assert {r.component_id for r in got.values()} == {0} and [i for i, r in got.items() if r.kept] == [0]
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (1, a), (2, b + " more"), (3, a), (None, a), (None, None), (4, None), (5, "c " + b), (5, "d e f")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    have = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str)
+    want = [(1, 57, 1, True)] * 3 + [(2, 58, 1, False), (3, 57, 1, False), (None, 57, None, True), (None, 0, None, True), (4, 0, 4, True), (5, 58, 1, False), (5, 1, 5, True)]
+    assert have == sorted(want, key=str)
+
+
+def test_groups_that_share_an_element_beyond_the_pairwise_bound(docs_of, monkeypatch):
+    """Groups larger than the bound become buckets again; the result is that of brute force."""
+    monkeypatch.setattr(near_dedup, "MOST", 3)
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(200)]
+    core = [rng.choice(vocab) for _ in range(60)]
+    texts = []
+    for k in range(6):  # six rewritings of one text, each with its own near copies
+        own = core[:45] + [f"o{k}_{j}" for j in range(20)]
+        for _ in range(12):
+            w = list(own)
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    want, _ = jaccard_components(texts, 4)
+    got = by_id(near_dedup.near_duplicates(docs_of(texts), shingle=4))
+    assert [got[i].component_id for i in range(len(texts))] == want
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2))
