@@ -6,16 +6,18 @@
    hash of each bin is the signature, empty bins borrow from a full one in an
    order of their own (a random permutation per bin). 42 bands of 6 bins are the
    bucket keys: a pair of similarity 0.8 shares a bucket but for 3 in a million.
-3. Candidate edges are stars: the members of a bucket are compared with one
-   centre, the member of the least digest, so that the buckets of one cluster
-   mostly share a centre. A member's set is kept as its difference to the
-   centre's; members linked with the centre join it.
-4. Other members are similar to each other only if their differences share a
-   known number of elements, so only members of different components that share
-   one of the rarest elements of their differences are compared. Where more than
-   ``MOST`` members share one, they form a bucket again, with a centre of its own
-   (step 3): a star loses no link, and no group is compared pair by pair.
-   A member's centres rise from round to round, so the rounds end.
+3. Candidate edges are stars: the centre of a bucket is the member that shares
+   most with others over all its buckets, and each member is compared with the
+   best of its centres.
+4. Where a bucket still holds several components, each member's set is taken as
+   its difference to the bucket's centre. Members linked with the centre join it.
+   Others are similar to each other only if their differences share a known
+   number of elements, so only members of different components that share one of
+   the rarest elements of their differences are compared. A group of members that
+   share one and would make more than ``MOST`` pairs a member is a bucket again,
+   with a centre of its own, and step 4 is done again: a star loses no link, and
+   no large group is compared pair by pair. A member's centres fall in rank from
+   round to round, so the rounds end.
 5. Components are found by hooking and contraction, whose rounds grow with the
    logarithm of the graph.
 
@@ -41,7 +43,7 @@ from pulsegrid.llm.common import materialize, small_batches
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
-#: Members that share an element are compared pair by pair up to so many; more form a bucket.
+#: Members that share an element are compared pair by pair up to so many pairs a member; else they form a bucket.
 MOST = 32
 #: A centre's set is sent once for so many members.
 SALTED = 256
@@ -136,16 +138,14 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("t").mapInArrow(run, "sig binary, s binary")
 
 
-def _sets(spark: SparkSession, stars: DataFrame, classes: DataFrame, docs: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
-    """x, sig, s of every class that is in a star."""
-    wanted = stars.select(F.explode(F.array("centre", "x")).alias("x")).distinct()
-    wanted = materialize(spark, classes.join(wanted, "x").select("x", "sig", F.col("rep").alias("id")), "near-wanted")
-    ids = wanted.select("id").distinct()
+def _sets(spark: SparkSession, nodes: DataFrame, docs: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
+    """x, sig, s of the classes in ``nodes`` (x, sig, id)."""
+    ids = nodes.select("id").distinct()
     # counted, so that only a table of a known size is broadcast; beyond that the join is a shuffled one
-    ids = F.broadcast(ids) if wanted.count() <= broadcast_rows else ids
+    ids = F.broadcast(ids) if nodes.count() <= broadcast_rows else ids
     # (an id can stand on several rows and texts; the digest tells which set is meant, and each is kept once)
     found = shingle_sets(docs.join(ids, "id", "left_semi"), size).groupBy("sig").agg(F.first("s").alias("s"))
-    return materialize(spark, wanted.select("x", "sig").join(found, "sig"), "near-sets")
+    return materialize(spark, nodes.select("x", "sig").join(found, "sig"), "near-sets")
 
 
 def _pairs_with_sets(pairs: DataFrame, sets: DataFrame, left: str, right: str) -> DataFrame:
@@ -160,9 +160,9 @@ def _pairs_with_sets(pairs: DataFrame, sets: DataFrame, left: str, right: str) -
     return dealt.join(other, right).join(one, [left, "salt"])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set digests whose full sets reach the similarity."""
-    p = _pairs_with_sets(pairs, sets, "a", "b").select("a", "b", "sl", "sr")
+def confirm(pairs: DataFrame, sets: DataFrame, left: str, right: str, percent: int) -> DataFrame:
+    """a, b: the digests of the pairs whose full sets reach the similarity."""
+    p = _pairs_with_sets(pairs, sets, left, right).select("sig_l", "sig_r", "sl", "sr")
 
     def run(batches):
         for batch in batches:
@@ -224,6 +224,22 @@ def _roots(spark: SparkSession, up: DataFrame, most_rounds: int) -> DataFrame:
     raise RuntimeError(f"components: no roots after {most_rounds} rounds")
 
 
+def _best_centres(members: DataFrame, percent: int) -> DataFrame:
+    """centre, x: for each member of buckets (key, x, n, pop) the best centre of about its size."""
+    centre = members.groupBy("key").agg(F.max_by(F.struct("x", "n", "pop"), F.struct("pop", "x")).alias("c"))
+    near = members.join(centre, "key").where(f"x <> c.x AND 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
+    return near.groupBy("x").agg(F.max_by("c.x", F.struct("c.pop", "c.x")).alias("centre"))
+
+
+def _stars(members: DataFrame, key: list[str]) -> DataFrame:
+    """centre, x: every member of a bucket with its centre, the one of highest rank: of small size, then popular."""
+    rank = F.struct((-F.floor(F.log("n") / F.log(F.lit(1.1)))).alias("small"), "pop", "x")
+    own = members.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)], "x", rank.alias("rank"))
+    names = [f"k{i}" for i in range(len(key))]
+    top = own.groupBy(*names).agg(F.max_by("x", "rank").alias("centre"))
+    return own.drop("rank").join(top, names).where("x <> centre").select("centre", "x").distinct()
+
+
 def _differences(spark: SparkSession, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """centre, sig, x, n, nc, linked, diff: how each member's set differs from its centre's.
 
@@ -329,23 +345,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialize(spark, sketch(df, id_col, text_col, shingle), "near-sketch")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(spark, classes.withColumn("x", F.xxhash64("sig")), "near-classes")
-    reps = rows.join(classes.select(F.col("sig").alias("s2"), "rep", "x"), F.expr("id = rep AND sig = s2")).select("x", F.explode("bands").alias("key"))
-    ends = reps.groupBy("key").agg(F.min("x").alias("centre"), F.max("x").alias("top")).where("centre <> top").select("key", "centre")
-    stars = reps.join(ends, "key").where("x <> centre").select("centre", "x").distinct()
-    label = None
+    reps = rows.join(classes.select(F.col("sig").alias("s2"), "rep", "x"), F.expr("id = rep AND sig = s2")).select("x", "n", F.explode("bands").alias("key"))
+    keys = reps.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    held = materialize(spark, reps.join(keys.select("key", "c"), "key"), "near-buckets")
+    pop = held.groupBy("x").agg(F.first("n").alias("n"), F.sum(F.log2("c")).alias("pop"))
+    nodes = materialize(spark, pop.join(classes.select("x", "sig", F.col("rep").alias("id")), "x"), "near-nodes")
+    sets = _sets(spark, nodes, docs, shingle, broadcast_rows)
+    members = held.select("key", "x").join(nodes.select("x", "n", "pop"), "x")
+    label = _merge(spark, None, confirm(_best_centres(members, percent), sets, "centre", "x", percent))
+
+    comp = _labelled(nodes, label).select("x", "comp")
+    several = held.select("key", "x").join(comp, "x").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    stars = _stars(members.join(several, "key", "left_semi"), ["key"])
     while True:
         stars = materialize(spark, stars, "near-stars")
         if not stars.limit(1).count():
             break
-        sets = _sets(spark, stars, classes, docs, shingle, broadcast_rows)
         diffs = _differences(spark, stars, sets, percent)
         label = _merge(spark, label, diffs.where("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
         placed = materialize(spark, _sharing(diffs, label, percent), "near-placed")
-        groups = placed.groupBy("centre", "e").agg(F.min("x").alias("next"), F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        pairs = materialize(spark, _small_groups(placed, groups.where(F.col("c") <= MOST).select("centre", "e"), percent), "near-pairs")
-        label = _merge(spark, label, confirm(pairs, sets, percent))
-        large = groups.where(F.col("c") > MOST).select("centre", "e", "next")
-        stars = placed.select("centre", "e", "x").join(large, ["centre", "e"]).where("x <> next").select(F.col("next").alias("centre"), "x").distinct()
+        groups = placed.groupBy("centre", "e", "comp").agg(F.count("*").alias("k")).groupBy("centre", "e").agg(F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        groups = groups.select("centre", "e", (F.col("c") * F.col("c") - F.col("same") > 2 * MOST * F.col("c")).alias("large")).where("c * c > same")
+        pairs = materialize(spark, _small_groups(placed, groups.where("NOT large").select("centre", "e"), percent), "near-pairs")
+        label = _merge(spark, label, confirm(pairs, sets, "a", "b", percent))
+        large = placed.select("centre", "e", "x").join(groups.where("large").select("centre", "e"), ["centre", "e"])
+        stars = _stars(large.join(nodes.select("x", "n", "pop"), "x"), ["centre", "e"])
 
     if label is None:
         named = classes.where("copies > 1").select("sig", F.col("rep").alias("cid"), F.col("sig").alias("stands"))
