@@ -44,7 +44,7 @@ from pulsegrid.llm.common import materialize, small_batches
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
 #: Members that share an element are compared pair by pair up to so many pairs a member; else they form a bucket.
-MOST = 32
+MOST = 4096
 #: A centre's set is sent once for so many members.
 SALTED = 256
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, size=BINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
