@@ -7,8 +7,8 @@ the same scope, a block of text between blank lines: an account identifier
 next to a secret, a bare string next to an identifier, an endpoint next to both.
 
 The interval join of a document's parts is a sweep over its parts in order of
-position, once forwards and once backwards, which carries the nearest part of
-each role; no pairs are made and nothing is shuffled.
+position, once forwards and once backwards, which carries the furthest end (or
+least start) of each role's parts; no pairs are made and nothing is shuffled.
 
 Defined results: a null text is an empty text without spans; one output row per
 input row; positions are code points, ends exclusive; an empty table gives an
@@ -45,46 +45,63 @@ BASE = ("assign", "access", "hex")
 PART = "array<struct<start:int,k:int,end:int,role:int,weak:boolean>>"
 
 
+#: Running results are put together in blocks of so many, so that long arrays aren't copied for each element.
+BLOCK = 128
+
+
+def scan(items: Column, zero: Column, step, emit, kind: str) -> Column:
+    """``emit(state, x)`` for each element, the state running along: an array of ``kind``."""
+
+    def within(block: Column, state: Column) -> Column:
+        start = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(block, start, lambda t, x: F.struct(step(t["state"], x).alias("state"), F.concat(t["out"], F.array(emit(t["state"], x))).alias("out")))
+
+    def across(s: Column, block: Column) -> Column:
+        return let(within(block, s["state"]), lambda v: F.struct(v["state"].alias("state"), F.concat(s["out"], v["out"]).alias("out")))
+
+    def blocks(whole: Column) -> Column:
+        n = F.greatest(F.floor((F.size(whole) - 1) / BLOCK), F.lit(0)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(whole, k * BLOCK + 1, BLOCK))
+        return F.aggregate(cut, F.struct(zero.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), across, lambda s: s["out"])
+
+    return let(items, blocks)
+
+
 def spans_of(text: Column, k: int) -> Column:
     """Matches of kind ``k`` as parts; lengths of the pieces between matches give the positions."""
     _, pattern, role, weak, passes = KINDS[k]
 
-    def walk(both: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(PART).alias("out"))
-
-        def step(s: Column, pm: Column) -> Column:
-            begin = s["at"] + F.char_length(pm["p"])
-            end = begin + F.char_length(pm["m"])
-            part = F.struct(begin.alias("start"), F.lit(k).alias("k"), end.alias("end"), F.lit(role).alias("role"), F.lit(weak).alias("weak"))
-            return F.struct(end.alias("at"), F.when(passes(pm["m"]), F.concat(s["out"], F.array(part))).otherwise(s["out"]).alias("out"))
-
-        return F.aggregate(both, start, step, lambda s: s["out"])
+    def emit(at: Column, pm: Column) -> Column:
+        begin = at + F.char_length(pm["p"])
+        part = F.struct(begin.alias("start"), F.lit(k).alias("k"), (begin + F.char_length(pm["m"])).alias("end"), F.lit(role).alias("role"), F.lit(weak).alias("weak"))
+        return F.when(passes(pm["m"]), part)
 
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    return F.when(text.rlike(pattern), walk(zipped)).otherwise(F.array().cast(PART))
+    found = scan(zipped, F.lit(0), lambda at, pm: at + F.char_length(pm["p"]) + F.char_length(pm["m"]), emit, PART[6:-1])
+    return F.when(text.rlike(pattern), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast(PART))
+
+
+def _none() -> Column:
+    return F.lit(None).cast("int")
 
 
 def _sweep(parts: Column, reach: int, forwards: bool) -> Column:
-    """For each part of an ordered array: is an identifier, a secret within reach before it in its scope?"""
-    none = F.lit(None).cast("int")
-    state = F.struct(none.alias("i"), none.alias("s"), F.array().cast("array<struct<i:boolean,s:boolean>>").alias("out"))
+    """For each part of an ordered array: is an identifier, a secret within reach before it in its scope?
+
+    The state is the furthest end (backwards: the least start) of the parts of each role.
+    """
 
     def near(p: Column, at: Column) -> Column:
         gap = (p["start"] - at) if forwards else (at - p["end"])
         return F.coalesce(gap <= reach, F.lit(False))
 
     def step(s: Column, p: Column) -> Column:
-        own = p["end"] if forwards else p["start"]
-        blank = p["role"] == 3
-        seen = F.struct(near(p, s["i"]).alias("i"), near(p, s["s"]).alias("s"))
-        return F.struct(
-            F.when(blank, none).when(p["role"] == 0, own).otherwise(s["i"]).alias("i"),
-            F.when(blank, none).when(p["role"] == 1, own).otherwise(s["s"]).alias("s"),
-            F.concat(s["out"], F.array(seen)).alias("out"),
-        )
+        own, blank = (p["end"] if forwards else p["start"]), p["role"] == 3
+        best = F.greatest if forwards else F.least
+        return F.struct(*[F.when(blank, _none()).when(p["role"] == role, best(s[c], own)).otherwise(s[c]).alias(c) for role, c in ((0, "i"), (1, "s"))])
 
-    return F.aggregate(parts, state, step, lambda s: s["out"])
+    return scan(parts, F.struct(_none().alias("i"), _none().alias("s")), step, lambda s, p: F.struct(near(p, s["i"]).alias("i"), near(p, s["s"]).alias("s")), "struct<i:boolean,s:boolean>")
 
 
 def _linked(parts: Column, reach: int) -> Column:
@@ -104,9 +121,29 @@ def _linked(parts: Column, reach: int) -> Column:
     return let(parts, choose)
 
 
-def _apart(weak: Column, strong: Column) -> Column:
-    """Weak parts that overlap no strong part."""
-    return let(strong, lambda b: F.filter(weak, lambda w: ~F.exists(b, lambda p: (p["start"] < w["end"]) & (w["start"] < p["end"]))))
+def _apart(parts: Column) -> Column:
+    """Strong parts, and the weak parts that overlap none of them; ``parts`` is ordered (strong ones first at one place).
+
+    The furthest end of the strong parts before, and the least start of those after, tell.
+    """
+
+    def covered(p: Column, forwards: bool) -> Column:
+        best = F.greatest if forwards else F.least
+
+        def step(s: Column, x: Column) -> Column:
+            return F.when(x["weak"], s).otherwise(best(s, x["end"] if forwards else x["start"]))
+
+        def emit(s: Column, x: Column) -> Column:
+            return F.coalesce(x["weak"] & ((s > x["start"]) if forwards else (s < x["end"])), F.lit(False))
+
+        return scan(p if forwards else F.reverse(p), _none(), step, emit, "boolean")
+
+    def choose(p: Column) -> Column:
+        over = F.zip_with(covered(p, True), F.reverse(covered(p, False)), lambda f, b: f | b)
+        zipped = F.zip_with(p, over, lambda x, o: F.struct(x.alias("p"), o.alias("o")))
+        return F.transform(F.filter(zipped, lambda z: ~z["o"]), lambda z: z["p"])
+
+    return let(parts, choose)
 
 
 def find_secrets(text: Column, reach: int = 300) -> Column:
@@ -116,8 +153,8 @@ def find_secrets(text: Column, reach: int = 300) -> Column:
         base = F.concat(*[spans_of(t, k) for k in range(3)])
 
         def whole(b: Column) -> Column:
-            weak = _apart(F.concat(*[spans_of(t, k) for k in (3, 4, 5)]), b)
-            return let(weak, lambda w: F.when(F.size(w) == 0, F.array_sort(b)).otherwise(_linked(F.array_sort(F.concat(b, w, spans_of(t, 6))), reach)))
+            weak = F.concat(*[spans_of(t, k) for k in (3, 4, 5)])
+            return let(weak, lambda w: F.when(F.size(w) == 0, F.array_sort(b)).otherwise(_linked(F.array_sort(F.concat(_apart(F.array_sort(F.concat(b, w))), spans_of(t, 6))), reach)))
 
         return let(base, whole)
 
@@ -138,17 +175,12 @@ def mask_secrets(text: Column, parts: Column, mark: str = "[SECRET]") -> Column:
     """The text with every reported span (overlaps joined) replaced by a mark."""
 
     def build(t: Column) -> Column:
-        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-        def step(s: Column, p: Column) -> Column:
-            fresh = p["start"] >= s["at"]
-            piece = F.substring(t, s["at"] + 1, p["start"] - s["at"])
-            return F.struct(F.greatest(s["at"], p["end"]).alias("at"), F.when(fresh, F.concat(s["out"], F.array(piece, F.lit(mark)))).otherwise(s["out"]).alias("out"))
-
-        def close(s: Column) -> Column:
-            return F.concat(F.array_join(s["out"], ""), F.substring(t, s["at"] + 1, F.char_length(t)))
+        def emit(at: Column, p: Column) -> Column:
+            return F.when(p["start"] >= at, F.concat(F.substring(t, at + 1, p["start"] - at), F.lit(mark))).otherwise("")
 
-        return F.aggregate(parts, state, step, close)
+        kept = scan(parts, F.lit(0), lambda at, p: F.greatest(at, p["end"]), emit, "string")
+        last = F.array_max(F.transform(parts, lambda p: p["end"]))
+        return F.concat(F.array_join(kept, ""), F.substring(t, last + 1, F.char_length(t)))
 
     return F.when(F.size(parts) == 0, text).otherwise(let(text, build))
 
