@@ -15,16 +15,17 @@ empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from pulsegrid.llm.common import small_batches
 
 @dataclass(frozen=True)
 class Params:
@@ -146,30 +147,31 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str =
     return train(idx, np.r_[0, np.cumsum(n)], got["y"].to_numpy(np.float64), p)
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, ``held_out``, ``score``, ``predicted`` and the columns in ``keep``."""
-    carried = [c for c in keep if c not in (id_col, text_col)]
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(carried)])
-    with_text = text_col in keep
-    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields if with_text or f.name != "_t"} | {"_score": "double"}
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+def score_of(spark: SparkSession, text: Column, machine: Machine) -> Column:
+    """The score of a text: only the texts go to Python and only the scores come back."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(machine)
 
-    def run(batches):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         known = TermBucket(m.bits)
-        for b in batches:
-            margins = []
-            for start in range(0, len(b), 256):
-                idx = [term_buckets(raw.as_py(), known) for raw in pc.fill_null(b.column(1).slice(start, 256), "").cast(pa.binary())]
+        for column in columns:
+            raw = pc.fill_null(column, "").cast(pa.binary())
+            margins = [np.empty(0)]
+            for start in range(0, len(raw), 256):
+                idx = [term_buckets(x.as_py(), known) for x in raw.slice(start, 256)]
                 off = np.r_[0, np.cumsum([len(x) for x in idx])]
                 margins.append(m.margins(np.concatenate(idx), off))
-            s = 1 / (1 + np.exp(-np.clip(np.concatenate(margins), -30, 30))) if margins else np.empty(0)
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(b.columns) if with_text or i != 1] + [pa.array(s, pa.float64())], list(kinds))
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(margins), -30, 30))), pa.float64())
+
+    return F.arrow_udf(run, "double")(text.cast("string"))
+
 
-    out = d.mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in kinds.items()))
-    held = F.coalesce(fold(F.col("_id")) == 0, F.lit(False))
-    back = [F.col(f"_k{i}").alias(c) for i, c in enumerate(carried)] + [F.col("_t").alias(text_col)] * with_text
-    return out.select(F.col("_id").alias(id_col), *back, held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ``held_out``, ``score`` and ``predicted``."""
+    s = docs.select(F.col(id_col), score_of(docs.sparkSession, F.col(text_col), machine).alias("score"))
+    held = F.coalesce(fold(F.col(id_col)) == 0, F.lit(False))
+    return s.select(id_col, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

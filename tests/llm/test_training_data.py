@@ -143,6 +143,24 @@ def test_secret_spans(docs_of):
     assert key not in masked[1].m and masked[6].m is None and masked[5].m == texts[5]
 
 
+def test_secret_links_equal_the_sql(docs_of):
+    """Overlapping, nested and distant parts in random layouts, and a text of many parts."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(7)
+    pieces = ["token=", "g" * 10, "0af1" * 8, "-" * 120, " " * 50, "user=bob99", "\n\n", "\n", "AKIA" + "A1B2" * 4, "abcD1" * 8, "https://h.example/x", "client_id: abc", " ", "secret: ", "x" * 200, '"', "é"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(2, 25))) for _ in range(300)]
+    texts += ["token=" + "g" * 10 + "0af1" * 8 + "-" * 500 + " " * 50 + "user=bob99", "\n".join(["0af1" * 8, "user=bob99"] * 400), None, ""]
+    got = docs_of(texts).select("doc_id", secret_scan.as_text(secret_scan.find_secrets(F.coalesce("text", F.lit("")))).alias("spans"))
+    have = {r.doc_id: r.spans for r in got.collect()}
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": pd.Series(texts, dtype=object)}))
+    want = dict(db.execute(f"SELECT doc_id, spans FROM ({secret_scan.OP6_SQL})").fetchall())
+    assert have == want
+    assert "account:598:608" in have[300] and have[301].count("account") == 400
+
+
 def jaccard_components(texts, k):
     sets = []
     for t in texts:
