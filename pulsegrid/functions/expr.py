@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # Unit factors and physiological limits (per minute, ms, ms^2).
 NANOS, MICROS, MILLIS, SECONDS_PER_MINUTE = 1e9, 1e6, 1e3, 60.0
 HR_RANGE, RR_RANGE = (40.0, 240.0), (1.0, 60.0)
+# further limits: mmHg, ms, cm/ms, percent; seconds of signal that an estimate needs at least and at most
+LIMITS = {"bp_sys": (40.0, 240.0), "bp_dia": (20.0, 160.0), "ptt": (100.0, 400.0), "pwv": (0.2, 0.6), "spo2": (70.0, 100.0), "idx": (0.0, 1.0)}
+CALC_SECONDS = {"hr": (5.0, 10.0), "rr": (10.0, 30.0), "sdnn": (20.0, 60.0), "rmssd": (20.0, 60.0), "lfhf": (55.0, 60.0)}
 HRV_LIMITS = {"sdnn": (1.0, 200.0), "rmssd": (1.0, 200.0), "lf": (0.0, 5000.0), "hf": (0.0, 5000.0), "lfhf": (0.0, 10.0)}
 
 

@@ -204,7 +204,7 @@ def welch(x: np.ndarray, f_s: float, seg: int, nfft: int) -> tuple[np.ndarray, n
 def lf_hf(diffs: np.ndarray) -> tuple[float, float]:
     """Low- and high-frequency power (ms^2) of beat intervals in seconds."""
     t = np.cumsum(diffs)
-    at = np.arange(t[0], t[-1], 0.25)
+    at = np.arange(0, t[-1], 0.25)
     if len(at) < 2:
         return np.nan, np.nan
     seg = min(len(at), 256)
@@ -213,6 +213,82 @@ def lf_hf(diffs: np.ndarray) -> tuple[float, float]:
     return tuple(float(np.trapezoid(p[m], f[m]) * 1e6) for m in (lo, hi))
 
 
+def fill_skipped(d: np.ndarray, threshold: float = 0.3) -> np.ndarray:
+    """Intervals that leave the median by more than a share of it give way to their neighbours' line."""
+    if not len(d):
+        return d
+    ok = np.abs(d - np.median(d)) <= threshold * np.median(d)
+    return np.interp(np.arange(len(d)), np.flatnonzero(ok), d[ok]) if ok.any() else d
+
+
+def rate_of_times(t: np.ndarray, skipped: bool = False) -> float:
+    """60 / median interval; NaN below two times or with an interval of zero."""
+    d = np.diff(t)
+    d = fill_skipped(d) if skipped else d
+    return float(60 / np.median(d)) if len(d) and (d != 0).all() else np.nan
+
+
+def variability(d: np.ndarray, metric: str, err: float, limits: dict) -> float:
+    """Of intervals in seconds, less the quantisation error ``err``, clipped to ``limits[metric]``."""
+    if metric == "sdnn":
+        v = np.sqrt(max(np.var(d) - err, 0.0)) * 1000 if np.var(d) >= err else np.nan
+    elif metric == "rmssd":
+        m = np.mean(np.diff(d) ** 2) - 2 * err if len(d) > 1 else np.nan
+        v = np.sqrt(m) * 1000 if m >= 0 else np.nan
+    elif metric in ("lf", "hf", "lfhf"):
+        lf, hf = (np.clip(p, *limits[k]) for p, k in zip(lf_hf(d), ("lf", "hf"), strict=True))
+        v = {"lf": lf, "hf": hf, "lfhf": lf / hf if hf > 0 else np.nan}[metric]
+    else:
+        raise ValueError(f"unknown metric {metric!r}")
+    return float(np.clip(v, *limits[metric]))
+
+
+def variability_of_times(t: np.ndarray, metric: str, limits: dict, err: float = 0.0, least: int = 8, min_t: float = 10.0, skipped: bool = False) -> float:
+    """NaN below ``least`` times or ``min_t`` seconds, or with an interval of zero."""
+    d = np.diff(t)
+    d = fill_skipped(d) if skipped else d
+    if len(d) < 1 or len(t) < least or t[-1] - t[0] < min_t or (d == 0).any():
+        return np.nan
+    return variability(d, metric, err, limits)
+
+
+def rolling_count(x: np.ndarray, fn, least: int, most: int, overlap: int | None = None, transform=None, fill: str = "pad", pad: float = np.nan) -> np.ndarray:
+    """``fn`` of windows of ``most`` values, a value per sample; the first windows may hold only ``least``.
+
+    Windows start every ``most - overlap`` values. overlap = most - 1 gives each sample the
+    window that ends there; 0 repeats a window's value; else the windows that cover a sample are
+    averaged (exact zeros don't count). Fewer values than ``least`` give ``pad``.
+    """
+    n, overlap = len(x), most - 1 if overlap is None else overlap
+    if not 0 <= overlap < most or least > most:
+        raise ValueError("needs 0 <= overlap < most and least <= most")
+    if n < least:
+        return np.full(n, pad)
+    step, front = most - overlap, most - least
+    count = -(-(n - least) // step) + 1
+    cut = [x[max(0, k * step - front) : max(0, k * step - front + most)] for k in range(count)]
+    values = np.array([fn(transform(w) if transform else w) for w in cut], float)
+    if overlap == most - 1:
+        start = {"pad": pad, "mean": values.mean(), "start": values[0]}[fill]
+        return np.r_[np.full(least - 1, start), values]
+    first = np.arange(count) * step - front
+    if overlap == 0:
+        return np.repeat(values, most)[front : front + n]
+    total, used = np.zeros(n), np.zeros(n)
+    for a, v in zip(first, values, strict=True):
+        total[max(0, a) : max(0, a + most)] += v
+        used[max(0, a) : max(0, a + most)] += v != 0
+    return total / np.maximum(used, 1)
+
+
+def rolling_span(t: np.ndarray, fn, least: float, most: float, pad: float = np.nan) -> np.ndarray:
+    """``fn`` of the times in (t - most, t], a value per time; times below ``least`` give ``pad``."""
+    if least < 0 or most < least:
+        raise ValueError("needs 0 <= least <= most")
+    left = np.searchsorted(t, t - most, side="right")
+    return np.array([fn(t[a : k + 1]) if t[k] >= least else pad for k, a in enumerate(left)], float)
+
+
 def find_peaks(x: np.ndarray, height=None, distance: float | None = None, prominence=None) -> np.ndarray:
     """Strict local maxima (middle of plateaus), by height, then distance (highest first), then prominence."""
     i, peaks = 1, []
@@ -260,17 +336,20 @@ def rolling_frequency(x: np.ndarray, f_s: float, window: int, f_range=None, f_re
     return total / count
 
 
-def valid_peaks(x: np.ndarray, f_s: float, window: int, f_range, tol=(0.4, 0.8), min_det: int = 1, refine: float = 0.1) -> tuple[list[np.ndarray], np.ndarray]:
-    """Runs of peaks whose intervals fit the rolling reference frequency, and the validity of samples."""
+def valid_peaks(x: np.ndarray, f_s: float, window: int, f_range, tol=(0.4, 0.8), min_det: int = 1, refine: float | None = None, height: float | None = 0.0, prominence: float | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Runs of peaks whose intervals fit the rolling reference frequency, and the validity of samples.
+
+    Peaks can be asked for by height and prominence, and moved to the highest sample within ``refine`` seconds.
+    """
     none = [], np.zeros(len(x))
     freq = rolling_frequency(x, f_s, window, f_range)
     top = np.quantile(freq, 0.9)
     if top <= 0:
         return none
-    p = find_peaks(x, 0.0, max(1.0, f_s / top * (1 - tol[0])))
+    p = find_peaks(x, height, max(1.0, f_s / top * (1 - tol[0])), prominence)
     if not len(p):
         return none
-    w = int(refine * f_s)
+    w = int((refine or 0) * f_s)
     if w > 1:
         p = np.unique([int(np.argmax(x[max(0, k - w // 2) : k + w // 2])) + max(0, k - w // 2) for k in p])
     if len(p) == 1:

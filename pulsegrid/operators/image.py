@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import kernels
+from pulsegrid.operators import roi as regions
 
 
 def _axis(spark: SparkSession, src: int, dst: int, name: str) -> DataFrame:
@@ -42,11 +43,18 @@ def bilinear_resample(pixels: DataFrame, keys: list[str], src: tuple[int, int],
     return j.groupBy(*keys, "yd", "xd").agg(F.floor(F.sum(F.col(val) * w) / 256).cast("int").alias(val)).select(*keys, F.col("yd").alias("y"), F.col("xd").alias("x"), val)
 
 
-def roi_mean(pixels: DataFrame, rois: DataFrame, keys: list[str], val: str = "p", out: str = "out") -> DataFrame:
-    """Mean of the pixels in each frame's box (x0 <= x < x1, y0 <= y < y1); boxes must have an area."""
-    area = F.when((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), True).otherwise(F.raise_error(F.lit("a region needs an area")).cast("boolean"))
+def roi_mean(pixels: DataFrame, rois: DataFrame, keys: list[str], val: str | list[str] = "p", out: str = "out", size: tuple[int, int] | None = None) -> DataFrame:
+    """Mean of the pixels in each frame's box (x0 <= x < x1, y0 <= y < y1), one column per channel in ``val``.
+
+    Boxes must have an area and, if the frame's ``size`` (h, w) is given, lie inside it.
+    """
+    fits = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    if size:
+        fits = fits & (F.col("x0") >= 0) & (F.col("y0") >= 0) & (F.col("x1") <= size[1]) & (F.col("y1") <= size[0])
+    area = F.when(fits, True).otherwise(F.raise_error(F.lit("a region needs an area inside the frame")).cast("boolean"))
     j = pixels.join(rois.where(area), keys).where("x >= x0 AND x < x1 AND y >= y0 AND y < y1")
-    return j.groupBy(*keys).agg(F.avg(val).cast("float").alias(out))
+    named = [(val, out)] if isinstance(val, str) else [(v, v) for v in val]
+    return j.groupBy(*keys).agg(*[F.avg(v).cast("float").alias(o) for v, o in named])
 
 
 def crop(pixels: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
@@ -65,28 +73,29 @@ def target_shape(h: int, w: int, size: tuple[int, int], keep_ratio: bool, by_lon
     return int(h * r), int(w * r)
 
 
-def crop_slice_resize(frames: DataFrame, size: tuple[int, int] | None = None, roi: tuple[int, int, int, int] | None = None, idxs: list[int] | None = None, keep_ratio: bool = False, algorithm: str | Column = "auto") -> DataFrame:
+def crop_slice_resize(frames: DataFrame, size: tuple[int, int] | None = None, roi: tuple[int, int, int, int] | Column | None = None, idxs: list[int] | None = None, keep_ratio: bool = False, algorithm: str | Column = "auto") -> DataFrame:
     """Frame table (…, frame, h, w, c, data) cropped (box clipped to the frame), picked and resized.
 
     Picked frames keep the order and repetitions of ``idxs`` in the column ``pos``;
-    ``algorithm`` names a kernel, or is a column that does so per frame.
+    ``roi`` and ``algorithm`` are the same for all frames, or columns (a struct x0, y0, x1, y1; a name).
     """
     if idxs is not None:
         pick = frames.sparkSession.createDataFrame(list(enumerate(idxs)), "pos long, frame int")
         frames = frames.join(F.broadcast(pick), "frame")  # a list given in the call
 
     columns = frames.columns
-    frames = frames.withColumn("_algorithm", algorithm if isinstance(algorithm, Column) else F.lit(algorithm))
+    boxes = F.array(*[roi[n] if isinstance(roi, Column) else F.lit(int(roi[k])) for k, n in enumerate(("x0", "y0", "x1", "y1"))]) if roi is not None else F.lit(None)
+    frames = frames.withColumn("_algorithm", algorithm if isinstance(algorithm, Column) else F.lit(algorithm)).withColumn("_roi", boxes.cast("array<bigint>"))
 
     def run(batches):
         for b in batches:
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             hs, ws, ds = [], [], []
-            for h, w, c, d, how in zip(*(cols[n].to_pylist() for n in ("h", "w", "c", "data", "_algorithm")), strict=True):
+            for h, w, c, d, how, box in zip(*(cols[n].to_pylist() for n in ("h", "w", "c", "data", "_algorithm", "_roi")), strict=True):
                 im = np.frombuffer(d, np.uint8).reshape(h, w, c)
-                if roi:
-                    x0, x1 = (min(max(int(v), 0), w) for v in (roi[0], roi[2]))
-                    y0, y1 = (min(max(int(v), 0), h) for v in (roi[1], roi[3]))
+                if box:
+                    x0, x1 = (min(max(v, 0), w) for v in (box[0], box[2]))
+                    y0, y1 = (min(max(v, 0), h) for v in (box[1], box[3]))
                     im = im[y0:y1, x0:x1]
                 if size:
                     im = kernels.resize(im, *target_shape(*im.shape[:2], size, keep_ratio), how)
@@ -99,6 +108,12 @@ def crop_slice_resize(frames: DataFrame, size: tuple[int, int] | None = None, ro
     return frames.mapInArrow(run, frames.schema).select(*columns)
 
 
+def crop_resize_from_det(frames: DataFrame, det: Column, size: tuple[int, int] | None, method: str | None, algorithm: str = "auto", even: bool = False, detector: str = "retinaface") -> DataFrame:
+    """Frame table cut to the region that ``method`` makes of each frame's detection, and resized."""
+    box = regions.roi_from_det(det, method, (F.col("w"), F.col("h")), even, detector=detector)
+    return crop_slice_resize(frames, size, box, algorithm=algorithm)
+
+
 def frames_of(pixels: DataFrame, keys: list[str], h: int, w: int, val: str = "p") -> DataFrame:
     """Pixel rows of one channel -> frame rows with packed bytes."""
     data = F.array_sort(F.collect_list(F.struct("y", "x", val)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def gather(df: DataFrame, keys: list[str], cols: list[str], order: str = "i") -> DataFrame:
     """keys and one array per column, in order; a signal is one row and must fit a task."""
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *[F.col(c).cast("double").alias(c) for c in cols]))).alias("_s"))
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(c).cast("double").alias(c) for c in cols]))).alias("_s"))
     return g.select(*keys, *[F.transform("_s", _field(c)).alias(c) for c in cols])
 
 
@@ -36,6 +36,21 @@ def per_signal(df: DataFrame, keys: list[str], cols: list[str], fn: Callable, ou
     return g.mapInArrow(run, schema)
 
 
+def per_row(df: DataFrame, keys: list[str], cols: list[str], fn: Callable, order: str = "i") -> DataFrame:
+    """keys, the columns (as double) and out: ``fn`` of a signal's arrays gives a value for each of its rows."""
+    g = gather(df, keys, cols, order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in g.schema.fields) + ", out array<double>"
+
+    def run(batches):
+        for b in batches:
+            arrays = [b.column(b.schema.get_field_index(c)) for c in cols]
+            res = [np.asarray(fn(*(np.array(a[k].as_py(), float) for a in arrays)), float).tolist() for k in range(len(b))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(res, pa.list_(pa.float64()))], [*b.schema.names, "out"])
+
+    zipped = g.mapInArrow(run, schema).select(*keys, F.explode(F.arrays_zip(*cols, "out")).alias("_z"))
+    return zipped.select(*keys, *[F.col("_z")[c].alias(c) for c in [*cols, "out"]])
+
+
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, i, out from an array per signal."""
     return df.select(*keys, F.posexplode("out").alias("i", "out")).withColumn("i", F.col("i").cast("long"))

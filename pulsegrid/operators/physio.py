@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import kernels
 from pulsegrid.functions.expr import HR_RANGE, HRV_LIMITS, RR_RANGE, clip
 from pulsegrid.operators import asof, interp, spectral, windows
-from pulsegrid.operators.kernel import per_signal
+from pulsegrid.operators.kernel import per_row, per_signal
 
 NAN = float("nan")
 
@@ -52,26 +52,45 @@ def weighted_mean(df: DataFrame, keys: list[str], val: str = "v", weight: str =
 
 
 def rolling_rate_by_detections(dets: DataFrame, keys: list[str], size: int, time: str = "t") -> DataFrame:
-    """Detections with the rate over the last ``size`` of them (NULL before)."""
+    """Detections with the rate over the last ``size`` of them (NULL before); NaN with an interval of zero."""
     w = W.partitionBy(*keys).orderBy(time)
     d = intervals(dets, keys, time)
     frame = w.rowsBetween(-(size - 2), 0)
-    rate = F.try_divide(F.lit(60.0), F.percentile("d", F.lit(0.5)).over(frame))
+    rate = F.when(F.count_if(F.col("d") == 0).over(frame) > 0, F.lit(NAN)).otherwise(F.try_divide(F.lit(60.0), F.percentile("d", F.lit(0.5)).over(frame)))
     return d.withColumn("rate", F.when(F.row_number().over(w) >= size, rate)).drop("d")
 
 
-def rolling_rate_by_seconds(dets: DataFrame, keys: list[str], most: float, least: float = 0.0, us: str = "us") -> DataFrame:
-    """Detections with the rate over the intervals that end in (t - most, t]."""
-    w = W.partitionBy(*keys).orderBy(us)
-    d = dets.withColumn("d", (F.col(us) - F.lag(us).over(w)) / 1e6)
-    first = F.min(us).over(W.partitionBy(*keys))
-    # intervals that lie in the window as a whole
-    frame = w.rangeBetween(-(int(round(most * 1e6)) - 1), 0)
-    own = F.collect_list("d").over(frame)
-    inside = F.slice(own, F.when(F.min(us).over(frame) == first, 1).otherwise(2), F.greatest(F.size(own), F.lit(1)))
-    rate = F.aggregate(F.array_sort(inside), F.lit(0.0), lambda a, x: a + x)
-    mean = F.try_divide(60.0 * F.size(inside), rate)
-    return d.withColumn("rate", F.when(F.col(us) - first >= int(round(least * 1e6)), mean)).drop("d")
+def rolling(dets: DataFrame, keys: list[str], fn: Callable, least: float, most: float, overlap: int | None = None, unit: str = "detections", time: str = "t", pad: float = NAN) -> DataFrame:
+    """keys, ``time``, out: ``fn`` of the times in each window, a value per detection.
+
+    ``unit`` is "detections" (windows of ``least`` to ``most`` of them, every ``most - overlap``;
+    ``overlap`` is ``least - 1`` by default) or "seconds" (windows that end at each detection).
+    """
+    if unit == "seconds":
+        return per_row(dets, keys, [time], lambda t: kernels.rolling_span(t, fn, least, most, pad), time)
+    if unit != "detections":
+        raise ValueError(f"unknown unit {unit!r}")
+    overlap = int(least) - 1 if overlap is None else overlap
+    if overlap > least:
+        raise ValueError("overlap must not exceed the least window")
+    return per_row(dets, keys, [time], lambda t: kernels.rolling_count(t, fn, int(least), int(most), overlap, pad=pad), time)
+
+
+def rolling_rate(dets: DataFrame, keys: list[str], least: float, most: float, overlap: int | None = None, unit: str = "detections", interp_skipped: bool = False, time: str = "t", pad: float = NAN) -> DataFrame:
+    """keys, ``time``, rate over rolling windows of detections or seconds."""
+    return rolling(dets, keys, lambda t: kernels.rate_of_times(t, interp_skipped), least, most, overlap, unit, time, pad).withColumnRenamed("out", "rate")
+
+
+def rolling_hrv(dets: DataFrame, keys: list[str], metric: str, least: float, most: float, f_s: float | None = None, overlap: int | None = None, unit: str = "detections", interp_skipped: bool = False, min_dets: int = 8, min_t: float = 10.0, correct: bool = True, time: str = "t", pad: float = NAN) -> DataFrame:
+    """keys, ``time``, value: variability over rolling windows; runs of detections are keys too."""
+    _known(metric)
+    err = 1 / (12 * f_s * f_s) if f_s and correct else 0.0
+    return rolling(dets, keys, lambda t: kernels.variability_of_times(t, metric, HRV_LIMITS, err, min_dets, min_t, interp_skipped), least, most, overlap, unit, time, pad).withColumnRenamed("out", "value")
+
+
+def _known(metric: str) -> None:
+    if metric not in HRV_LIMITS:
+        raise ValueError(f"unknown metric {metric!r}")
 
 
 def upsample(rates: DataFrame, samples: DataFrame, keys: list[str], time: str = "us", val: str = "rate") -> DataFrame:
@@ -88,40 +107,50 @@ def rmssd(dd: Column, var_e=0.0) -> Column:
     return clip(F.sqrt(F.avg(dd * dd) - 2 * F.lit(var_e)) * 1000, *HRV_LIMITS["rmssd"])
 
 
-def hrv_from_detections(dets: DataFrame, keys: list[str], metric: str, f_s: float | None = None, time: str = "t", min_dets: int = 8, min_t: float = 10.0, correct: bool = True) -> DataFrame:
-    """keys, value over all detections of a signal; NaN below ``min_dets`` or ``min_t`` seconds."""
+def _moment(metric: str, d: Column, dd: Column, err: float, enough: Column) -> Column:
+    """SDNN or RMSSD of a group of intervals; NaN where there isn't enough, or with an interval of zero."""
+    value = sdnn(d, err) if metric == "sdnn" else rmssd(dd, err)
+    return F.when(enough & (F.count_if(d == 0) == 0), F.coalesce(F.nanvl(value, F.lit(NAN)), F.lit(NAN))).otherwise(F.lit(NAN))
+
+
+def hrv_from_detections(dets: DataFrame, keys: list[str], metric: str, f_s: float | None = None, time: str = "t", min_dets: int = 8, min_t: float = 10.0, correct: bool = True, interp_skipped: bool = False) -> DataFrame:
+    """keys, value over all detections of a signal; NaN below ``min_dets`` + 2 of them or ``min_t`` seconds."""
+    _known(metric)
     err = 1 / (12 * f_s * f_s) if f_s and correct else 0.0
-    if metric in ("lf", "hf", "lfhf"):
-        k = per_signal(dets.withColumn("i", F.col(time)), keys, [time], lambda t: _spectral_hrv(t, metric, min_dets, min_t))
+    if metric not in ("sdnn", "rmssd") or interp_skipped:
+        k = per_signal(dets, keys, [time], lambda t: kernels.variability_of_times(t, metric, HRV_LIMITS, err, min_dets + 2, min_t, interp_skipped), order=time)
         return k.withColumnRenamed("out", "value")
     d = intervals(dets, keys, time)
     d = d.withColumn("dd", F.col("d") - F.lag("d").over(W.partitionBy(*keys).orderBy(time)))
-    value = sdnn(F.col("d"), err) if metric == "sdnn" else rmssd(F.col("dd"), err)
     enough = (F.count("d") - 1 >= min_dets) & (F.max(time) - F.min(time) >= min_t)
-    return d.groupBy(*keys).agg(F.when(enough, F.coalesce(value, F.lit(NAN))).otherwise(F.lit(NAN)).alias("value"))
-
-
-def _spectral_hrv(t: np.ndarray, metric: str, min_dets: int, min_t: float) -> float:
-    d = np.diff(t)
-    if len(d) - 1 < min_dets or t[-1] - t[0] < min_t:
-        return NAN
-    lf, hf = kernels.lf_hf(d)
-    v = {"lf": lf, "hf": hf, "lfhf": lf / hf if hf else NAN}[metric]
-    return float(np.clip(v, *HRV_LIMITS[metric])) if math.isfinite(v) else NAN
+    return d.groupBy(*keys).agg(_moment(metric, F.col("d"), F.col("dd"), err, enough).alias("value"))
 
 
-def hrv_from_sequences(dets: DataFrame, keys: list[str], metric: str, f_s: float | None = None, seq: str = "seq_id", time: str = "t", min_dets: int = 8, min_t: float = 10.0, correct: bool = True, weighted: bool = True) -> DataFrame:
-    """keys, value over runs of detections: weighted by duration, or with pooled intervals."""
+def hrv_from_sequences(dets: DataFrame, keys: list[str], metric: str, f_s: float | None = None, seq: str = "seq_id", time: str = "t", min_dets: int = 8, min_t: float = 10.0, correct: bool = True, weighted: bool = True, interp_skipped: bool = False) -> DataFrame:
+    """keys, value over runs of detections: weighted by duration, or of the intervals of all runs one after the other."""
+    _known(metric)
     err = 1 / (12 * f_s * f_s) if f_s and correct else 0.0
     part = [*keys, seq]
     d = intervals(dets, part, time)
-    d = d.withColumn("dd", F.col("d") - F.lag("d").over(W.partitionBy(*part).orderBy(time)))
-    value = sdnn(F.col("d"), err) if metric == "sdnn" else rmssd(F.col("dd"), err)
-    enough = (F.count("d") + 1 >= min_dets) & (F.max(time) - F.min(time) >= min_t)
-    value = F.when(enough, F.coalesce(value, F.lit(NAN))).otherwise(F.lit(NAN))
     if not weighted:
-        return d.groupBy(*keys).agg(value.alias("value"))
-    return weighted_mean(d.groupBy(*part).agg(value.alias("v"), (F.max(time) - F.min(time)).alias("w")), keys).withColumnRenamed("out", "value")
+        before = W.partitionBy(*keys).orderBy(time).rowsBetween(W.unboundedPreceding, -1)
+        d = d.withColumn("dd", F.col("d") - F.last("d", True).over(before))
+        if metric in ("sdnn", "rmssd") and not interp_skipped:
+            enough = (F.count("d") + 1 >= min_dets) & (F.sum("d") >= min_t)
+            return d.groupBy(*keys).agg(_moment(metric, F.col("d"), F.col("dd"), err, enough).alias("value"))
+
+        def joined(x: np.ndarray) -> float:
+            return kernels.variability_of_times(np.r_[0.0, np.cumsum(x[~np.isnan(x)])], metric, HRV_LIMITS, err, min_dets, min_t, interp_skipped)
+
+        return per_signal(d.withColumn("d", F.coalesce("d", F.lit(NAN))), keys, ["d"], joined, order=time).withColumnRenamed("out", "value")
+    if metric in ("sdnn", "rmssd") and not interp_skipped:
+        d = d.withColumn("dd", F.col("d") - F.lag("d").over(W.partitionBy(*part).orderBy(time)))
+        enough = (F.count("d") + 1 >= min_dets) & (F.max(time) - F.min(time) >= min_t)
+        runs = d.groupBy(*part).agg(_moment(metric, F.col("d"), F.col("dd"), err, enough).alias("v"), (F.max(time) - F.min(time)).alias("w"))
+    else:
+        v = per_signal(dets, part, [time], lambda t: kernels.variability_of_times(t, metric, HRV_LIMITS, err, min_dets, min_t, interp_skipped), order=time).withColumnRenamed("out", "v")
+        runs = v.join(dets.groupBy(*part).agg((F.max(time) - F.min(time)).alias("w")), part)
+    return weighted_mean(runs, keys).withColumnRenamed("out", "value")
 
 
 def split_by_confidence(dets: DataFrame, keys: list[str], conf: str = "conf", threshold: float = 0.6, order: str = "det_idx") -> DataFrame:

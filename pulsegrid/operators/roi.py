@@ -41,12 +41,15 @@ def grow(b: Column, change: tuple[float, float, float, float], clip: tuple[int,
     return even_dims(out) if even else out
 
 
-def roi_from_det(b: Column, method: str | None, clip: tuple[int, int] | None = None, even: bool = False, version: int = 1, detector: str = "retinaface") -> Column:
-    """face, forehead, upper_body, upper_body_cropped, meta, det or None (no region)."""
-    if method is None:
-        return F.lit(None).cast("struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>")
-    if method in ("face", "forehead", "det"):
-        return grow(b, CHANGES[method], None, even)
+def roi_from_det(b: Column, method: str | None, clip: tuple | None = None, even: bool = False, version: int = 1, detector: str = "retinaface") -> Column:
+    """face, forehead, upper_body, upper_body_cropped, meta, or det (also None): the box itself.
+
+    Regions that can leave the frame need its size (width, height) in ``clip``.
+    """
+    if method is None or method in ("face", "forehead", "det"):
+        return grow(b, CHANGES[method or "det"], None, even)
+    if clip is None and method in ("meta", "upper_body", "upper_body_cropped"):
+        raise ValueError(f"{method} needs the size of the frame")
     if method == "meta":
         return grow(b, CHANGES["meta"], clip, even)
     if method == "upper_body":

@@ -12,14 +12,9 @@ from pulsegrid.operators.metrics import snr_kernel
 
 
 def dft(df: DataFrame, keys: list[str], n: int, val: str = "val") -> DataFrame:
-    """Power of every non-negative frequency of signals of length ``n``: keys, k, power.
-
-    Samples are joined with a table of n / 2 + 1 frequencies and summed, all in the JVM.
-    """
-    d = df.select(*keys, "i", val, F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("k"))
-    angle = -2 * np.pi / n * F.col("k") * F.col("i")
-    s = d.groupBy(*keys, "k").agg(F.sum(F.col(val) * F.cos(angle)).alias("re"), F.sum(F.col(val) * F.sin(angle)).alias("im"))
-    return s.select(*keys, "k", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    """Power of every non-negative frequency of signals of length ``n``: keys, k, power (one FFT a signal)."""
+    p = per_signal(df, keys, [val], lambda x: np.abs(np.fft.rfft(x, n)) ** 2, "array<double>")
+    return spread(p, keys).select(*keys, F.col("i").alias("k"), F.col("out").alias("power"))
 
 
 def dft_peak(df: DataFrame, keys: list[str], n: int, f_s: float, f_range=None, val: str = "val") -> DataFrame:
@@ -53,10 +48,7 @@ def peak_rate(x: np.ndarray, f_s: float, f_range, window: int | None = None, int
     """f_s / median interval of the valid peaks; NaN without any."""
     runs, _ = kernels.valid_peaks(x, f_s, window or len(x), f_range, **options)
     d = np.concatenate([np.diff(r) for r in runs]) if runs else np.empty(0)
-    if interp_skipped and len(d):
-        med = np.median(d)
-        ok = np.abs(d - med) <= 0.3 * med
-        d = np.interp(np.arange(len(d)), np.flatnonzero(ok), d[ok]) if ok.any() else d
+    d = kernels.fill_skipped(d) if interp_skipped else d
     return float(f_s / np.median(d)) if len(d) else float("nan")
 
 

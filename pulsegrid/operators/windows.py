@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import kernels
+from pulsegrid.operators.kernel import per_row
+
 
 def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
@@ -101,3 +104,24 @@ def rolling_seconds(df: DataFrame, keys: list[str], agg: Callable[[str], Column]
     frame = W.partitionBy(*keys).orderBy("us").rangeBetween(-(int(round(most * 1e6)) - 1), 0)
     start = F.lit(origin) if origin is not None else F.min("us").over(W.partitionBy(*keys))
     return df.select(*[c for c in df.columns if c != "out"], F.when(F.col("us") - start >= int(round(least * 1e6)), agg(val).over(frame)).alias("out"))
+
+
+def rolling_apply(df: DataFrame, keys: list[str], fn: Callable, least: int, most: int, overlap: int | None = None, transform: Callable | None = None, fill: str = "pad", pad: float = float("nan"), val: str = "val") -> DataFrame:
+    """keys, i, out: any function of a window's values, for what aggregate expressions can't say.
+
+    ``transform`` changes a window before ``fn`` and must keep its length; ``fill`` is pad, mean or start.
+    """
+
+    def checked(w):
+        out = transform(w)
+        if len(out) != len(w):
+            raise ValueError("transform must keep the window's length")
+        return out
+
+    d = per_row(df, keys, ["i", val], lambda i, x: kernels.rolling_count(x, fn, least, most, overlap, checked if transform else None, fill, pad))
+    return d.select(*keys, F.col("i").cast("long").alias("i"), "out")
+
+
+def rolling_apply_seconds(df: DataFrame, keys: list[str], fn: Callable, least: float, most: float, time: str = "t", pad: float = float("nan")) -> DataFrame:
+    """keys, ``time``, out: any function of the times in (t - most, t]."""
+    return per_row(df, keys, [time], lambda t: kernels.rolling_span(t, fn, least, most, pad), time)

@@ -77,14 +77,26 @@ def rate_weighted_sequences(s, d):
     return physio.rate_from_sequences(_sequences(s, d), KEY, weighted=True).select("signal_id", r6("rate").alias("rate"))
 
 
-@query(DIFFS + " SELECT signal_id, us, CASE WHEN row_number() OVER (PARTITION BY signal_id ORDER BY us) >= 5 THEN round(60 / quantile_cont(d, 0.5) OVER (PARTITION BY signal_id ORDER BY us ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) END AS rate FROM df")
+@query(DIFFS + " SELECT signal_id, us, CASE WHEN row_number() OVER (PARTITION BY signal_id ORDER BY us) >= 5 AND count(*) FILTER (d = 0) OVER w = 0 THEN round(60 / quantile_cont(d, 0.5) OVER w, 6) END AS rate FROM df WINDOW w AS (PARTITION BY signal_id ORDER BY us ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")
 def rolling_rate_detections(s, d):
     return physio.rolling_rate_by_detections(_detections(s, d).select("signal_id", "us", "t"), KEY, 5).select("signal_id", "us", r6("rate").alias("rate"))
 
 
-@query(f"WITH {EV}, f AS (SELECT signal_id, us, min(us) OVER (PARTITION BY signal_id ORDER BY us RANGE BETWEEN 172799999999 PRECEDING AND CURRENT ROW) AS a, count(*) OVER (PARTITION BY signal_id ORDER BY us RANGE BETWEEN 172799999999 PRECEDING AND CURRENT ROW) AS n FROM ev) SELECT signal_id, us, round(60.0 * (n - 1) / nullif((us - a) / 1e6, 0), 6) AS rate FROM f")
+_PREV = f"WITH {EV}, p AS (SELECT signal_id, us, lag(us) OVER (PARTITION BY signal_id ORDER BY us) AS prev FROM ev)"
+
+
+@query(_PREV + ", x AS (SELECT e.signal_id, e.us, median((j.us - j.prev) / 1e6::DOUBLE) AS m, count(*) FILTER (j.us = j.prev) AS z FROM p e LEFT JOIN p j ON j.signal_id = e.signal_id AND j.us <= e.us AND j.prev > e.us - 172800000000 GROUP BY ALL) SELECT signal_id, us, CASE WHEN z = 0 THEN round(60 / m, 6) END AS rate FROM x")
 def rolling_rate_seconds(s, d):
-    return physio.rolling_rate_by_seconds(_detections(s, d).select("signal_id", "us"), KEY, 172_800.0).select("signal_id", "us", r6("rate").alias("rate"))
+    r = physio.rolling_rate(_detections(s, d), KEY, 0.0, 172_800.0, unit="seconds", time="t")
+    return r.select("signal_id", F.round(F.col("t") * 1e6).cast("long").alias("us"), r6("rate").alias("rate"))
+
+
+@query(DIFFS + ", x AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY us) AS n, sqrt(var_pop(d / 7200000) OVER w) * 1000 AS v, count(*) FILTER (d = 0) OVER w AS z FROM df WINDOW w AS (PARTITION BY signal_id ORDER BY us ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)) SELECT signal_id, us, CASE WHEN n >= 10 AND z = 0 THEN round(least(greatest(v, 1.0), 200.0), 4) END AS value FROM x")
+def rolling_hrv_sdnn(s, d):
+    """SDNN of the last ten detections; a unit of time stands for two hours here."""
+    e = _detections(s, d).withColumn("t", F.col("us") / 7.2e12)
+    r = physio.rolling_hrv(e, KEY, "sdnn", 10, 10, overlap=9, min_dets=8, min_t=0.0)
+    return r.select("signal_id", F.round(F.col("t") * 7.2e12).cast("long").alias("us"), F.round(F.nanvl("value", F.lit(None).cast("double")), 4).alias("value"))
 
 
 _HRV = "x AS (SELECT signal_id, t, d / 3600 AS d, d / 3600 - lag(d / 3600) OVER (PARTITION BY signal_id ORDER BY us) AS dd FROM df), g AS (SELECT signal_id, count(d) - 1 >= 8 AND max(t) - min(t) >= 10 AS ok, sqrt(var_pop(d)) * 1000 AS sdnn, sqrt(avg(dd * dd)) * 1000 AS rmssd FROM x GROUP BY signal_id)"
@@ -157,9 +169,11 @@ def signal_diff(s, d):
     return elementwise.diff(event_signals(s, d), KEY).select("signal_id", "i", r6("out").alias("out"))
 
 
-@query(f"WITH {EM} SELECT signal_id, i, round(20 * log10(abs(val)), 6) AS db FROM em WHERE val <> 0")
+@query(f"WITH {EM} SELECT signal_id, i, CASE WHEN val > 0 THEN round(20 * log10(val), 6) WHEN val = 0 THEN -1e9::DOUBLE END AS db FROM em")
 def magnitude_db(s, d):
-    return vector_signals(s, d).where("val <> 0").select("signal_id", "i", r6(expr.mag2db(F.abs("val"))).alias("db"))
+    """Values below zero have no level (NULL), zero has -inf (given as -1e9)."""
+    db = expr.mag2db(F.col("val"))
+    return vector_signals(s, d).select("signal_id", "i", F.when(db == float("-inf"), -1e9).otherwise(r6(db)).alias("db"))
 
 
 @query("SELECT p_partkey, greatest(floor(sqrt(0.196202 + (4.0 / p_size) * (4.0 / p_size)) / (4.0 / p_size)), 1)::INT AS ma_size, floor(0.1614 * pow(p_size, 1.9804))::INT AS hr_lambda, floor(4.4248 * pow(p_size, 2.1253))::INT AS rr_lambda FROM part")
@@ -168,10 +182,10 @@ def filter_sizes(s, d):
     return read(s, d, "part").select("p_partkey", expr.moving_average_size(f_s, 4.0).alias("ma_size"), expr.detrend_lambda(f_s, "hr").alias("hr_lambda"), expr.detrend_lambda(f_s, "rr").alias("rr_lambda"))
 
 
-@query("SELECT o_orderkey, o_orderstatus IN ('F') AS flag FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@query("SELECT o_orderkey, o_orderstatus IN ('F', 'P') AS flag FROM orders")
 def str2bool(s, d):
-    o = read(s, d, "orders").where(F.col("o_orderstatus").isin("F", "O"))
-    return o.select("o_orderkey", expr.str2bool(F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("n")).alias("flag"))
+    words = F.when(F.col("o_orderstatus") == "F", "Yes").when(F.col("o_orderstatus") == "P", "1").otherwise("n")
+    return read(s, d, "orders").select("o_orderkey", expr.str2bool(words).alias("flag"))
 
 
 @query("SELECT o_orderkey, round(CASE WHEN o_orderkey <= 3 THEN 0.01 + (0.1 - 0.01) * o_orderkey / 3.0 WHEN o_orderkey <= 9 THEN 0.1 WHEN o_orderkey <= 1900 THEN 0.01 ELSE 0.001 END, 6) AS lr FROM orders")
@@ -228,6 +242,14 @@ def rolling_mean_tumbling(s, d):
     return windows.rolling(vector_signals(s, d), KEY, 8, F.avg, overlap=0).select("signal_id", "i", r6("out").alias("out"))
 
 
+@query(f"WITH {EM}, o AS (SELECT signal_id, i, CASE WHEN i >= 5 THEN max(abs(val)) OVER w - min(abs(val)) OVER w END AS v FROM em WINDOW w AS (PARTITION BY signal_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) SELECT signal_id, i, round(coalesce(v, avg(v) OVER (PARTITION BY signal_id)), 6) AS out FROM o")
+def rolling_callable(s, d):
+    """A reducer and a transform given as functions."""
+    import numpy as np
+
+    return windows.rolling_apply(vector_signals(s, d), KEY, np.ptp, 6, 6, transform=np.abs, fill="mean").select("signal_id", "i", r6("out").alias("out"))
+
+
 _RANGE = "OVER (PARTITION BY signal_id ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)"
 
 
@@ -417,10 +439,10 @@ def _grown(l, t, r, b):
     return f"x0 - trunc({l} * w)::BIGINT AS x0, y0 - trunc({t} * h)::BIGINT AS y0, x1 + trunc({r} * w)::BIGINT AS x1, y1 + trunc({b} * h)::BIGINT AS y1"
 
 
-@query(" UNION ALL ".join(f"SELECT * FROM (WITH {_BOX} SELECT k, '{m}' AS method, {_grown(*c)} FROM q)" for m, c in (("face", (-0.2, -0.1, -0.2, -0.1)), ("forehead", (-0.35, -0.15, -0.35, -0.75)), ("upper_body", (0.25, 0.2, 0.25, 0.4)), ("det", (0, 0, 0, 0)))))
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {_BOX} SELECT k, '{m}' AS method, {_grown(*c)} FROM q)" for m, c in (("face", (-0.2, -0.1, -0.2, -0.1)), ("forehead", (-0.35, -0.15, -0.35, -0.75)), ("det", (0, 0, 0, 0)), ("none", (0, 0, 0, 0)))))
 def roi_from_det(s, d):
     b = _boxes(s, d)
-    parts = [b.select("k", F.lit(m).alias("method"), roi.roi_from_det(F.col("b"), m).alias("r")) for m in ("face", "forehead", "upper_body", "det")]
+    parts = [b.select("k", F.lit(m or "none").alias("method"), roi.roi_from_det(F.col("b"), m).alias("r")) for m in ("face", "forehead", "det", None)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -432,6 +454,16 @@ def roi_clipped_even(s, d):
     return _boxes(s, d).select("k", roi.roi_from_det(F.col("b"), "meta", (220, 160), even=True).alias("r")).select("k", "r.*")
 
 
+_BODY = [(False, v, c) for v, c in enumerate(roi.UPPER_BODY)] + [(True, v, c) for v, c in enumerate(roi.UPPER_BODY_CROPPED)]
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {_BOX}, g AS (SELECT k, {_grown(*c)} FROM q) SELECT k, {str(cut).lower()} AS cropped, {v} AS version, least(greatest(x0, 0), 220) AS x0, least(greatest(y0, 0), 160) AS y0, least(greatest(x1, 0), 220) AS x1, least(greatest(y1, 0), 160) AS y1 FROM g)" for cut, v, c in _BODY))
+def roi_upper_body(s, d):
+    """All versions of the body's region, clipped to the frame."""
+    each = [F.struct(F.lit(cut).alias("cropped"), F.lit(v).alias("version"), roi.roi_from_det(F.col("b"), "upper_body_cropped" if cut else "upper_body", (220, 160), version=v).alias("r")) for cut, v, _ in _BODY]
+    return _boxes(s, d).select("k", F.explode(F.array(*each)).alias("e")).select("k", "e.cropped", "e.version", "e.r.*")
+
+
 @query(f"WITH {FR} SELECT frame, y // 2 AS y, x // 2 AS x, (sum(p) // count(*))::INT AS p FROM fr GROUP BY ALL")
 def box_resample(s, d):
     return image.box_resample(vector_frames(s, d), ["frame"], (8, 8), (4, 4))
@@ -449,6 +481,37 @@ def roi_mean(s, d):
     return image.roi_mean(vector_frames(s, d), rois, ["frame"]).select("frame", F.round(F.col("out").cast("double"), 4).alias("out"))
 
 
+@query(f"WITH {FR} SELECT frame, round(avg(p)::FLOAT::DOUBLE, 4) AS r, round(avg(p * 7 % 256)::FLOAT::DOUBLE, 4) AS g, round(avg(p * 13 % 256)::FLOAT::DOUBLE, 4) AS b FROM fr WHERE x >= frame % 4 AND x < frame % 4 + 3 AND y >= frame % 3 AND y < frame % 3 + 4 GROUP BY frame")
+def roi_mean_rgb(s, d):
+    f, p = F.col("frame"), F.col("p")
+    rois = read(s, d, "embeddings").select(F.col("vec_id").alias("frame")).select("frame", (f % 4).alias("x0"), (f % 3).alias("y0"), (f % 4 + 3).alias("x1"), (f % 3 + 4).alias("y1"))
+    rgb = vector_frames(s, d).select("frame", "y", "x", p.alias("r"), (p * 7 % 256).alias("g"), (p * 13 % 256).alias("b"))
+    m = image.roi_mean(rgb, rois, ["frame"], ["r", "g", "b"], size=(8, 8))
+    return m.select("frame", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in "rgb"])
+
+
+@query(f"WITH {FR}, b AS (SELECT *, frame % 3 + 1 AS x0, frame % 2 + 2 AS y0, frame % 3 + 5 AS x1, frame % 2 + 5 AS y1 FROM fr) SELECT frame, (least(y1 + trunc(0.2 * (y1 - y0))::BIGINT, 8) - greatest(y0 - trunc(0.2 * (y1 - y0))::BIGINT, 0))::INT AS h, (least(x1 + trunc(0.2 * (x1 - x0))::BIGINT, 8) - greatest(x0 - trunc(0.2 * (x1 - x0))::BIGINT, 0))::INT AS w, string_agg(printf('%02X', p), '' ORDER BY y, x) AS data FROM b WHERE x >= x0 - trunc(0.2 * (x1 - x0))::BIGINT AND x < x1 + trunc(0.2 * (x1 - x0))::BIGINT AND y >= y0 - trunc(0.2 * (y1 - y0))::BIGINT AND y < y1 + trunc(0.2 * (y1 - y0))::BIGINT GROUP BY frame, x0, y0, x1, y1")
+def crop_from_det(s, d):
+    """Frames cut to the region around a detection."""
+    k = F.col("frame")
+    f = image.frames_of(vector_frames(s, d), ["frame"], 8, 8)
+    out = image.crop_resize_from_det(f, roi.box(k % 3 + 1, k % 2 + 2, k % 3 + 5, k % 2 + 5), None, "meta")
+    return out.select("frame", "h", "w", F.hex("data").alias("data"))
+
+
+@query(f"WITH {FR} SELECT frame, 5 AS h, 6 AS w, string_agg(printf('%02X', p), '' ORDER BY y, x) AS data FROM fr WHERE frame >= 6 AND frame < 400 AND (frame - 6) % 4 = 0 AND x >= 1 AND x < 7 AND y >= 2 AND y < 7 GROUP BY frame")
+def parse_image_inputs(s, d):
+    f = image.frames_of(vector_frames(s, d), ["frame"], 8, 8)
+    return media.parse_frames(f, fps=30.0, target_fps=7.5, trim=(6, 400), roi=(1, 2, 7, 7)).select("frame", "h", "w", F.hex("data").alias("data"))
+
+
+@query(f"WITH {FR}, f AS (SELECT DISTINCT frame, frame % 5 AS path FROM fr), n AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY frame) - 1 AS frame FROM f) SELECT path, 25.0::DOUBLE AS fps, count(*) AS n_frames, 8 AS h, 8 AS w, 1 AS c, false AS issues FROM n GROUP BY path")
+def probe_image_inputs(s, d):
+    f = image.frames_of(vector_frames(s, d), ["frame"], 8, 8).withColumn("path", F.col("frame") % 5)
+    f = f.withColumn("frame", F.row_number().over(W.partitionBy("path").orderBy("frame")) - 1)
+    return media.probe_frames(f, 25.0)
+
+
 @query(f"WITH {FR} SELECT frame, y - 2 AS y, x - 1 AS x, p FROM fr WHERE frame >= 10 AND frame < 200 AND (frame - 10) % 3 = 0 AND x >= 1 AND x < 6 AND y >= 2 AND y < 7")
 def frame_trim_downsample_crop(s, d):
     f = media.select_frames(vector_frames(s, d), 10, 200, media.frame_step(30.0, 11.0))
@@ -571,7 +634,7 @@ def hrv_sdnn_sequences(s, d):
     return v.select("signal_id", F.round(F.nanvl("value", F.lit(None).cast("double")), 4).alias("value"))
 
 
-@query(_SEQ_HRV + ", x AS (SELECT *, d - lag(d) OVER (PARTITION BY signal_id, seq_id ORDER BY us) AS dd FROM df) SELECT signal_id, CASE WHEN count(d) + 1 >= 4 AND max(t) - min(t) >= 0.001 THEN round(least(greatest(sqrt(avg(dd * dd)) * 1000, 1.0), 200.0), 4) END AS value FROM x GROUP BY signal_id")
+@query(_SEQ_HRV + ", x AS (SELECT *, d - last_value(d IGNORE NULLS) OVER (PARTITION BY signal_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dd FROM df) SELECT signal_id, CASE WHEN count(d) + 1 >= 4 AND sum(d) >= 0.001 AND count(*) FILTER (d = 0) = 0 THEN round(least(greatest(sqrt(avg(dd * dd)) * 1000, 1.0), 200.0), 4) END AS value FROM x GROUP BY signal_id")
 def hrv_rmssd_sequences_pooled(s, d):
     v = physio.hrv_from_sequences(_hrv_sequences(s, d), KEY, "rmssd", min_dets=4, min_t=0.001, weighted=False)
     return v.select("signal_id", F.round(F.nanvl("value", F.lit(None).cast("double")), 4).alias("value"))
@@ -612,9 +675,9 @@ def pad_frames(s, d):
     return media.pad_frames(f, 4)
 
 
-@query(f"WITH {_HIST} SELECT name, step, score, name || '_keep_' || step AS file FROM h WHERE step % 10 = 0")
+@query(f"WITH {_HIST} SELECT name, step, score, name || '_keep_' || step AS file FROM h")
 def topk_keep(s, d):
-    return topk.keep_all(_history(s, d).where("step % 10 = 0"))
+    return topk.keep_all(_history(s, d))
 
 
 @query(f"WITH {_HIST} SELECT name, max(score) AS score FROM h GROUP BY name")

@@ -82,6 +82,32 @@ def select_frames(frames: DataFrame, start: int = 0, end: int | None = None, ste
     return f if step == 1 else f.where(F.pmod(F.col(col) - start, F.lit(step)) == 0)
 
 
+def probe_frames(frames: DataFrame, fps: float | None = None, by: str = "path") -> DataFrame:
+    """Per source: fps, n_frames, h, w, c, and ``issues`` (sizes differ, or frames are missing)."""
+    g = frames.groupBy(by).agg(F.count("*").alias("n_frames"), F.max("frame").alias("_last"), *[F.max(c).alias(c) for c in "hwc"], *[F.min(c).alias("_" + c) for c in "hwc"])
+    odd = (F.col("h") != F.col("_h")) | (F.col("w") != F.col("_w")) | (F.col("c") != F.col("_c")) | (F.col("_last") + 1 != F.col("n_frames"))
+    return g.select(by, F.lit(fps).cast("double").alias("fps"), "n_frames", "h", "w", "c", odd.alias("issues"))
+
+
+def parse_frames(frames: DataFrame, fps: float | None = None, target_fps: float | None = None, ds_factor: int | None = None, trim: tuple[int, int] | None = None, idxs: list[int] | None = None, roi=None, size: tuple[int, int] | None = None, keep_ratio: bool = False, algorithm: str = "auto") -> DataFrame:
+    """One front door for frame tables: trim, then every n-th frame (by ``target_fps`` or ``ds_factor``), or
+    the frames ``idxs``; then crop and resize. Frames keep their numbers."""
+    from pulsegrid.operators.image import crop_slice_resize
+
+    if target_fps is not None and ds_factor is not None:
+        raise ValueError("give target_fps or ds_factor, not both")
+    if target_fps is not None and fps is None:
+        raise ValueError("target_fps needs fps")
+    if idxs is not None and (trim or target_fps or ds_factor):
+        raise ValueError("idxs goes with neither trim nor downsampling")
+    step = frame_step(fps, target_fps) if target_fps is not None else (ds_factor or 1)
+    start, end = trim or (0, None)
+    picked = select_frames(frames, start, end, step)
+    if idxs is None and roi is None and size is None:
+        return picked
+    return crop_slice_resize(picked, size, roi, idxs, keep_ratio, algorithm)
+
+
 def pad_frames(frames: DataFrame, want: int, by: str = "path") -> DataFrame:
     """Too few frames: repeat the first in front; too many: drop the last. Frames count from 0."""
     n = frames.groupBy(by).agg(F.count("*").alias("_n"))

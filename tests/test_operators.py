@@ -170,3 +170,80 @@ def test_random_distortion(spark):
     np.testing.assert_allclose(np.max(turned, 1), [max(r[3:]) for r in rows], atol=1e-12)
     assert tuple(turned[-1]) == (0.5, 0.5, 0.5)
     assert not np.allclose(turned[:48], [r[3:] for r in rows[:48]])
+
+
+def test_rolling_sdnn_golden(spark):
+    t = np.linspace(0, 8, 2000)
+    rows = [(1, k, float(t[i])) for k, q in enumerate([[202, 392, 612, 799], [1201, 1403, 1610, 1839]]) for i in q]
+    df = spark.createDataFrame(rows, "signal_id long, seq_id int, t double")
+    f_s = 2000 / 8
+    for correct, want in ((True, (59.6173, 46.9229)), (False, (59.6284, 46.9371))):
+        r = physio.rolling_hrv(df, ["signal_id", "seq_id"], "sdnn", 2, 4, f_s, overlap=2, min_dets=3, min_t=0.5, correct=correct).orderBy("t").collect()
+        for k in (0, 1):
+            own = [x["value"] for x in r if x["seq_id"] == k]
+            assert math.isnan(own[0]) and math.isnan(own[1])
+            np.testing.assert_allclose(own[2:], [want[k]] * 2, atol=1e-3)
+        total = physio.hrv_from_sequences(df, ["signal_id"], "sdnn", f_s, min_dets=2, min_t=0.5, correct=correct).first()["value"]
+        assert abs(total - (53.0593762 if correct else 53.0721198)) < 1e-5
+
+
+def test_variability_metrics_differ_over_runs(spark):
+    rng = np.random.default_rng(0)
+    t = np.cumsum(0.8 + 0.05 * np.sin(np.arange(120) / 3) + 0.02 * rng.normal(size=120))
+    df = spark.createDataFrame([(1, int(k >= 60), float(x)) for k, x in enumerate(t)], "signal_id long, seq_id int, t double")
+    got = {m: physio.hrv_from_sequences(df, ["signal_id"], m, correct=False).first()["value"] for m in ("sdnn", "rmssd", "lf", "hf", "lfhf")}
+    assert len(set(got.values())) == 5 and all(math.isfinite(v) for v in got.values())
+    pooled = physio.hrv_from_sequences(df, ["signal_id"], "lf", correct=False, weighted=False).first()["value"]
+    assert math.isfinite(pooled)
+    with pytest.raises(ValueError):
+        physio.hrv_from_sequences(df, ["signal_id"], "nonsense")
+
+
+def test_detection_golden_with_skipped_beats(spark):
+    idx = [202, 392, 601, 799, 1201, 1403, 1610, 1839]
+    df = spark.createDataFrame([(1, i / 30) for i in idx], "signal_id long, t double")
+    got = physio.hrv_from_detections(df, ["signal_id"], "sdnn", 30, min_dets=5, min_t=1.0, interp_skipped=True).first()["value"]
+    assert abs(got - 200) < 0.1
+
+
+def test_rolling_rates(spark):
+    times = lambda t: spark.createDataFrame([(1, float(x)) for x in t], "signal_id long, t double")
+    by = lambda df: [r["rate"] for r in df.orderBy("t").collect()]
+    assert by(physio.rolling_rate(times([0, 1, 2, 3, 7]), ["signal_id"], 0, 100, unit="seconds"))[-1] == 60
+    assert math.isnan(by(physio.rolling_rate(times([0, 1, 1, 2]), ["signal_id"], 4, 4))[-1])
+    assert math.isnan(by(physio.rolling_rate_by_detections(times([0, 1, 1, 2]), ["signal_id"], 4))[-1])
+    ramp = np.cumsum(np.r_[0, 60 / np.linspace(60, 90, 30)])
+    for kw in ({"least": 6, "most": 6, "overlap": 5}, {"least": 3.0, "most": 3.0, "unit": "seconds"}):
+        r = [x for x in by(physio.rolling_rate(times(ramp), ["signal_id"], interp_skipped=True, **kw)) if math.isfinite(x)]
+        assert r and all(b >= a - 1e-6 for a, b in zip(r, r[1:], strict=False)) and r[-1] - r[0] > 20
+    with pytest.raises(ValueError):
+        physio.rolling_rate(times([0, 1]), ["signal_id"], 2, 4, overlap=3)
+
+
+def test_region_without_method_is_the_box(spark):
+    b = roi.box(*map(F.lit, (100, 100, 181, 220)))
+    row = lambda c: tuple(spark.range(1).select(c.alias("r")).first()["r"])
+    assert row(roi.roi_from_det(b, None)) == (100, 100, 181, 220)
+    assert row(roi.roi_from_det(b, None, even=True)) == (100, 100, 180, 220)
+    with pytest.raises(ValueError):
+        roi.roi_from_det(b, "meta")
+
+
+def test_front_door_of_frames(spark):
+    f = spark.createDataFrame([("a", k, 4, 6, 3, bytes(range(72))) for k in range(10)], "path string, frame int, h int, w int, c int, data binary")
+    assert [r.frame for r in media.parse_frames(f, ds_factor=3, trim=(1, 9)).orderBy("frame").collect()] == [1, 4, 7]
+    out = media.parse_frames(f, fps=30.0, target_fps=15.0, roi=(0, 0, 4, 4), size=(2, 2)).first()
+    assert (out.h, out.w, len(out.data)) == (2, 2, 12)
+    for bad in ({"target_fps": 5.0, "ds_factor": 2, "fps": 30.0}, {"target_fps": 5.0}, {"idxs": [0], "trim": (0, 2)}):
+        with pytest.raises(ValueError):
+            media.parse_frames(f, **bad)
+    det = image.crop_resize_from_det(f, roi.box(*map(F.lit, (1, 1, 4, 3))), (36, 36), "face", "bicubic").first()
+    assert (det.h, det.w, det.c) == (36, 36, 3)
+    assert media.probe_frames(f, 30.0).first()["issues"] is False
+
+
+def test_a_region_outside_the_frame_is_an_error(spark):
+    px = media.test_frames(spark, 1, 4, 4)
+    rois = spark.createDataFrame([(0, 0, 0, 5, 2)], "frame int, x0 int, y0 int, x1 int, y1 int")
+    with pytest.raises(Exception, match="inside the frame"):
+        image.roi_mean(px, rois, ["frame"], size=(4, 4)).collect()
