@@ -137,9 +137,13 @@ def pchip(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def theil_sen(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Median slope and intercept: a robust line, the same on every run."""
-    i, j = np.triu_indices(len(x), 1)
-    slope = float(np.median((y[j] - y[i]) / (x[j] - x[i])))
+    """Median slope and intercept: a robust line, the same on every run (8 bytes a pair of samples)."""
+    n, at = len(x), 0
+    slopes = np.empty(n * (n - 1) // 2)
+    for k in range(1, n):
+        slopes[at : at + n - k] = (y[k:] - y[:-k]) / (x[k:] - x[:-k])
+        at += n - k
+    slope = float(np.median(slopes, overwrite_input=True))
     return slope, float(np.median(y - slope * x))
 
 

@@ -37,12 +37,15 @@ def hop(df: DataFrame, keys: list[str], size: int, overlap: int, agg: Callable[[
     return w.groupBy(*keys, "win").agg(F.when(F.count("*") == size, agg(val)).alias("v"))
 
 
-def resolve_hop(values: DataFrame, samples: DataFrame, keys: list[str], size: int, overlap: int) -> DataFrame:
-    """Mean over the windows that cover a sample. Exact zeros don't count; one NULL window makes its samples NULL."""
-    w = window_view(samples.select(*keys, "i"), keys, size, overlap)
-    j = w.join(values, [*keys, "win"])
+def _covering_mean(d: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean of ``v`` over the windows that cover a sample. Exact zeros don't count; one NULL window makes its samples NULL."""
     mean = F.sum("v") / F.greatest(F.count_if(F.col("v") != 0), F.lit(1))
-    return j.groupBy(*keys, "i").agg(F.when(F.count_if(F.col("v").isNull()) == 0, mean).alias("out"))
+    return d.groupBy(*keys, "i").agg(F.when(F.count_if(F.col("v").isNull()) == 0, mean).alias("out"))
+
+
+def resolve_hop(values: DataFrame, samples: DataFrame, keys: list[str], size: int, overlap: int) -> DataFrame:
+    """keys, i, out from a value per window, for windows that were computed elsewhere."""
+    return _covering_mean(window_view(samples.select(*keys, "i"), keys, size, overlap).join(values, [*keys, "win"]), keys)
 
 
 def rolling(df: DataFrame, keys: list[str], size: int, agg: Callable[[str], Column], overlap: int | None = None, fill: str = "pad", least: int | None = None, val: str = "val") -> DataFrame:
@@ -66,7 +69,10 @@ def rolling(df: DataFrame, keys: list[str], size: int, agg: Callable[[str], Colu
         w = df.select(*keys, "i", val).withColumn("win", F.expr(f"i div {size}"))
         g = W.partitionBy(*keys, "win")
         return w.select(*keys, "i", F.when(F.count(F.lit(1)).over(g) == size, agg(val).over(g)).alias("out"))
-    return resolve_hop(hop(df, keys, size, overlap, agg, val), df, keys, size, overlap)
+    # each sample is repeated once for the windows that hold it; a window's value stands on all of its rows
+    g = W.partitionBy(*keys, "win")
+    w = window_view(df.select(*keys, "i", val), keys, size, overlap)
+    return _covering_mean(w.withColumn("v", F.when(F.count(F.lit(1)).over(g) == size, agg(val).over(g))), keys)
 
 
 def moving_average(df: DataFrame, keys: list[str], size: int, center: bool = True, val: str = "val") -> DataFrame:
