@@ -331,6 +331,28 @@ def test_toxicity_learns_pairs(spark, docs_of):
     assert 0 <= empty[0].score <= 1 and empty[0].score == empty[1].score
 
 
+def test_toxicity_pairs_learn_what_an_additive_model_cannot():
+    """Exclusive or of two terms among others: the sum of term weights says nothing, their product does."""
+    rng = np.random.default_rng(1)
+
+    def rows(n):
+        idx, y = [], []
+        for _ in range(n):
+            a, b = rng.random(2) < 0.5
+            idx.append(np.unique([*(rng.integers(0, 300, 15) + 10), *[1] * int(a), *[2] * int(b)]))
+            y.append(float(a != b))
+        return np.concatenate(idx), np.r_[0, np.cumsum([len(x) for x in idx])], np.array(y)
+
+    idx, off, y = rows(3000)
+    machine = toxicity.train(idx, off, y, toxicity.Params())
+    idx, off, y = rows(1000)
+    assert np.mean((machine.margins(idx, off) >= 0) == (y > 0)) > 0.75
+    # the second-order term is the sum over pairs
+    one, x = idx[: off[1]], 1 / np.sqrt(off[1])
+    pairs = sum(machine.factor[i] @ machine.factor[j] for k, i in enumerate(one) for j in one[:k]) * x * x
+    assert abs(machine.bias + machine.linear[one].sum() * x + pairs - machine.margins(one, off[:2])[0]) < 1e-4
+
+
 def test_license_families(docs_of, odd):
     texts = ["ble thntre.\nLicensed under the Apache License, Version 2.0.\nend", "The fishing license costs 2.0", "Released under the MIT License.\nLicensed under CC BY-NC 4.0.", "word " * 200 + "This work is licensed under the GNU General Public License, version 3."]
     df = license_scan.license_scan(docs_of([*texts, *odd]))
