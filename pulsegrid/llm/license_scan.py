@@ -3,20 +3,24 @@
 A unit is a line of text, or a window of 64 words of a longer one; a paragraph of
 several lines (paragraphs end at lines without words) also gives its windows of 64
 words that reach over a line's end, so that notices wrapped over lines are whole in
-one unit. Marks of comments are no part of a unit. A multinomial logistic regression on hashed words and word pairs assigns each unit a licence
-family or "unknown"; a family counts only if its probability passes a threshold
-calibrated on the unknown examples. A prediction is then confirmed by comparing
-the unit with the family's templates: enough of a template's 3-word shingles
-must occur in it. The model and the templates are of a fixed size; nothing is
-shuffled.
+one unit. Marks of comments are no part of a unit. A multinomial logistic regression
+on hashed words and word pairs gives each unit probabilities of the licence families
+and of "unknown"; a unit is looked at if the families' probability passes a threshold
+calibrated on held-out unknown examples. Each of its families that isn't negligible is
+then confirmed by comparing the unit with the family's templates: enough of a
+template's 3-word shingles must occur in it, and enough of those that no other
+family's templates hold, so that a notice of a kindred licence confirms nothing. The
+model and the templates are of a fixed size; nothing is shuffled.
 
 Defined results: a null or empty text has no units and no licence; one output
-row per input row; families are listed once each, in the order of ``FAMILIES``;
-an empty table gives an empty table.
+row per input row, repeated rows and null ids included; a unit that names several
+licences may give several families, each at most once; an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +28,15 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import logistic
 from pulsegrid.llm.common import TERM, ascii_lower, let
 
-DIM, WINDOW = 4096, 64
+DIM, WINDOW = 16_384, 64
+#: A family below this probability is not compared with its templates.
+LEAST_SHARE = 0.05
 #: Marks of comments that are words (others have no letters), and what parts paragraphs: line ends with no word between them.
 COMMENT = r"(?m)^[ \t]*(?:dnl|rem|REM|C)[ \t]+"
 BREAK = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
 
 #: Notices by which the families are declared.
-TEMPLATES = {
+NOTICES = {
     "MIT": [
         "Released under the MIT License.",
         "This project is licensed under the MIT License.",
@@ -47,6 +53,16 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "You should have received a copy of the GNU General Public License along with this program.",
     ],
+    "LGPL": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ],
+    "AGPL": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
@@ -65,6 +81,13 @@ TEMPLATES = {
         "Licensed under the Mozilla Public License, version 2.0.",
     ],
 }
+#: Short names of the families.
+NAMES = {"MIT": "MIT", "Apache-2.0": "Apache 2.0", "GPL": "GPL", "LGPL": "LGPL", "AGPL": "AGPL", "CC-BY-NC-4.0": "CC BY-NC 4.0", "CC-BY-4.0": "CC BY 4.0", "BSD": "BSD", "MPL-2.0": "MPL 2.0"}
+#: Ways to declare a licence by its short name, alone or as one of two.
+DECLARED = ["SPDX-License-Identifier: {}", "Licensed under {} or", "Licensed under the {} license", "or the {} license"]
+#: A name of one word at the end of a choice needs the word before it, of two words the choice's "or".
+CHOICES = {"MIT": ["2.0 or MIT"], "Apache-2.0": ["or Apache 2.0", "or Apache License, Version 2.0"], "MPL-2.0": ["or MPL 2.0"]}
+TEMPLATES = {f: [*NOTICES[f], *[d.format(NAMES[f]) for d in DECLARED], *CHOICES.get(f, [])] for f in NOTICES}
 FAMILIES = list(TEMPLATES)
 #: Sentences that declare no licence, some of them close to it.
 UNKNOWN = [
@@ -93,6 +116,18 @@ UNKNOWN = [
     "The names of the contributors are listed at the end of the book.",
     "Free admission for any person under the age of twelve.",
     "the of and to in is that it for as with on this by are be was or from at",
+    "See the license file of the project for details.",
+    "No license is granted by this document to anyone.",
+    "The terms of the public tender were published by the ministry of the interior.",
+    "You should have received a copy of the letter along with this parcel.",
+    "The license plate was registered under the name of her brother.",
+    "International trade under the new agreement is subject to the terms of the treaty.",
+    "He got his driving license or the identity card renewed for free.",
+    "Version 3 of the schedule and version 2.0 of the map may be downloaded.",
+    "The above table and this figure shall be included in all reports.",
+    "Sources and binary stars are observed with or without a filter.",
+    "A copy of the minutes may be obtained at the town hall.",
+    "The pub is licensed under the old law, or the new one, to sell wine.",
 ]
 
 
@@ -143,18 +178,28 @@ def shingles(words: Column) -> Column:
     return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(3)])))).otherwise(F.array().cast("array<bigint>"))
 
 
-def training_table(spark: SparkSession) -> DataFrame:
-    """Templates whole, without their first or last third, and inside other sentences; unknown sentences likewise."""
+def training_rows() -> list[tuple[int, int, str]]:
+    """(class, number of its text, text): templates whole, without their first or last third, and inside
+    other sentences; unknown sentences likewise. Texts of two families stand once for each."""
     rows = []
     for k, family in enumerate([*FAMILIES, None]):
         for j, text in enumerate(TEMPLATES[family] if family else UNKNOWN):
             w = text.split()
             third = max(1, len(w) // 3)
             around = UNKNOWN[(3 * k + j) % len(UNKNOWN)]
-            rows += [(k, text), (k, " ".join(w[third:]) if family is None else text), (k, f"{around} {text}"), (k, f"{text} {around}")]
+            rows += [(k, j, text), (k, j, " ".join(w[third:]) if family is None else text), (k, j, f"{around} {text}"), (k, j, f"{text} {around}")]
             if family is None or len(w) > 12:
-                rows += [(k, " ".join(w[:-third])), (k, " ".join(w[third:]))]
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, '{t}')" for k, t in rows) + " AS t(label, text)")
+                rows += [(k, j, " ".join(w[:-third])), (k, j, " ".join(w[third:]))]
+    for k, a in enumerate(NAMES.values()):
+        for j, b in enumerate(NAMES.values()):
+            if k != j:
+                text = f"Dual licensed under {a} or {b}."
+                rows += [(k, j, text), (j, k, text)]
+    return rows
+
+
+def training_table(spark: SparkSession) -> DataFrame:
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, {j}, '{t}')" for k, j, t in training_rows()) + " AS t(label, part, text)")
 
 
 def probabilities(model: logistic.Linear, idx: Column) -> Column:
@@ -170,57 +215,74 @@ def probabilities(model: logistic.Linear, idx: Column) -> Column:
 
 
 def train(spark: SparkSession, reg: float = 0.001) -> tuple[logistic.Linear, float]:
-    """The model, and the family probability that no unknown example reaches (at least 0.5)."""
-    rows = training_table(spark).select("label", features(hashes_of(F.col("text"))).alias("idx"))
-    model = logistic.fit(rows, DIM, reg)
-    p = probabilities(model, F.col("idx"))
-    best = F.array_max(F.slice(p, 1, len(FAMILIES)))
-    top = rows.where(F.col("label") == len(FAMILIES)).agg(F.max(best)).first()[0]
-    return model, min(0.9, max(0.5, top + 0.05))
+    """The model of all rows, and the probability of the families that passes.
+
+    The latter is calibrated on every fourth unknown sentence by a model that saw none of these (other
+    rows may hold them beside a notice): above what any of them reaches, within 0.5 and 0.9.
+    """
+    table = training_table(spark)
+    rows = table.select("label", "part", "text", features(hashes_of(F.col("text"))).alias("idx"))
+    held = (F.col("label") == len(FAMILIES)) & (F.col("part") % 4 == 3)
+    p = probabilities(logistic.fit(rows.where(~held), DIM, reg), F.col("idx"))
+    top = rows.where(held).agg(F.max(1.0 - F.get(p, F.lit(len(FAMILIES))))).first()[0]
+    return logistic.fit(rows, DIM, reg), min(0.9, max(0.5, top + 0.05))
+
 
+def _triples(text: str) -> list[tuple[str, ...]]:
+    w = re.findall(TERM, text.lower())
+    return list(dict.fromkeys(zip(w, w[1:], w[2:], strict=False)))
 
-def confirmed(words: Column, family: Column, share: float) -> Column:
-    """Whether ``share`` of the shingles of one of the family's templates occur in the unit."""
 
-    def against(own: Column) -> Column:
-        out = F.lit(False)
-        for k, texts in enumerate(TEMPLATES.values()):
-            like = [let(_template(t), _covers(own, share)) for t in texts]
-            any_ = like[0]
-            for x in like[1:]:
-                any_ = any_ | x
-            out = F.when(family == k, any_).otherwise(out)
-        return out
+def template_shingles() -> list[tuple[int, list, list]]:
+    """(family, shingles, shingles that no other family's templates hold) of each template."""
+    of = {f: {t for text in texts for t in _triples(text)} for f, texts in TEMPLATES.items()}
+    out = []
+    for k, (family, texts) in enumerate(TEMPLATES.items()):
+        others = set().union(*(of[f] for f in FAMILIES if f != family))
+        out += [(k, t, [x for x in t if x not in others]) for t in map(_triples, texts)]
+    if not all(own for _, _, own in out):
+        raise ValueError("a template must hold a shingle that no other family's templates hold")
+    return out
 
-    return let(shingles(words), against)
 
+def _literal_templates() -> Column:
+    """The templates' shingles as one constant array of structs."""
 
-def _covers(own: Column, share: float):
-    return lambda t: F.size(F.array_intersect(own, t)) >= share * F.size(t)
+    def hashes(triples: list) -> str:
+        return "array(" + ", ".join("xxhash64(" + ", ".join(f"xxhash64('{w}')" for w in t) + ")" for t in triples) + ")"
 
+    return F.expr("array(" + ", ".join(f"struct({k} AS k, {hashes(a)} AS whole, {hashes(b)} AS own)" for k, a, b in template_shingles()) + ")")
 
-def _template(text: str) -> Column:
-    return let(hashes_of(F.lit(text)), shingles)
+
+def confirmed(unit: Column, family: Column, templates: Column, share: float) -> Column:
+    """Whether ``share`` of the shingles of one of the family's templates, and of its own ones, occur among the unit's."""
+
+    def covers(t: Column) -> Column:
+        return F.size(F.array_intersect(unit, t)) >= share * F.size(t)
+
+    return F.exists(templates, lambda t: (t["k"] == family) & covers(t["own"]) & covers(t["whole"]))
 
 
 def license_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", share: float = 0.6, model: tuple[logistic.Linear, float] | None = None) -> DataFrame:
-    """Per row: id, ``n_units``, ``found``: array of (unit, family, probability, confirmed) of the units with a predicted family."""
+    """Per row: id, ``n_units``, ``found``: array of (unit, family, p, confirmed) of the families that are likely in a unit."""
     linear, least = model or train(df.sparkSession)
     names = F.array(*[F.lit(f) for f in FAMILIES])
+    none = "array<struct<unit:int,family:string,p:double,confirmed:boolean>>"
 
-    def classify(w: Column, i: Column) -> Column:
-        def of(p: Column) -> Column:
-            own = F.slice(p, 1, len(FAMILIES))
-            best = F.array_position(own, F.array_max(own)).cast("int") - 1
-            # (the comparison with templates is only evaluated for predictions)
-            return F.when(F.array_max(own) >= least, F.struct(i.alias("unit"), best.alias("k"), F.array_max(own).alias("p")))
+    def judge(w: Column, i: Column, p: Column) -> Column:
+        likely = F.filter(F.transform(F.slice(p, 1, len(FAMILIES)), lambda x, k: F.struct(k.alias("k"), x.alias("p"))), lambda x: x["p"] >= LEAST_SHARE)
 
-        return let(probabilities(linear, features(w)), of)
+        def one(x: Column, own: Column, known: Column) -> Column:
+            return F.struct(i.alias("unit"), F.element_at(names, x["k"] + 1).alias("family"), x["p"].alias("p"), confirmed(own, x["k"], known, share).alias("confirmed"))
+
+        return let(shingles(w), lambda own: let(_literal_templates(), lambda known: F.transform(likely, lambda x: one(x, own, known))))
+
+    def classify(w: Column, i: Column) -> Column:
+        # (the comparison with templates is only evaluated where a licence is likely)
+        return let(probabilities(linear, features(w)), lambda p: F.when(1.0 - F.get(p, F.lit(len(FAMILIES))) >= least, judge(w, i, p)).otherwise(F.array().cast(none)))
 
     def scan(units: Column) -> Column:
-        seen = F.filter(F.transform(units, classify), lambda x: x.isNotNull())
-        full = F.transform(seen, lambda x: F.struct(x["unit"].alias("unit"), F.element_at(names, x["k"] + 1).alias("family"), x["p"].alias("p"), confirmed(F.get(units, x["unit"]), x["k"], share).alias("confirmed")))
-        return F.struct(F.size(units).cast("long").alias("n_units"), full.alias("found"))
+        return F.struct(F.size(units).cast("long").alias("n_units"), F.flatten(F.transform(units, classify)).alias("found"))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(F.col(id_col), let(units_of(text), scan).alias("s")).select(id_col, "s.n_units", "s.found")
