@@ -6,27 +6,42 @@ fixed length, come to the driver.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and gets the model's verdict on no n-grams (the prior, which is allow); one
-output row per input row; an empty table gives an empty table.
+output row per input row, repeated rows and null ids included; other columns are
+not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import logistic
 from pulsegrid.llm.common import ascii_lower, let
 
+DIM = 8192
 #: (verdict, host, path); a rule is written host + path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: Labelled host stems, from which the small training table is built.
-BLOCKED = "casino-win casino-royal free-bets best-bets ads-track ad-server spam-farm spam-mail click-tracker popup-ads win-prize cheap-pills viagra-shop adult-cams xxx-videos poker-online slots-jackpot lottery-winner fast-loans payday-cash fake-login phish-bank malware-drop crack-keygen torrent-warez banner-ads tracking-pixel link-farm seo-spam betting-odds".split()
-ALLOWED = "city-library open-science school-news daily-herald garden-club recipes-home weather-today museum-art university-press health-info travel-guide music-review book-notes history-forum photo-journal code-docs math-lessons language-lab city-council sport-results nature-watch film-critic kids-learning railway-times river-blog mountain-hikes bakery-tips bird-atlas village-post harbor-radio the-reader the-other tion-station thinking-aloud another-day hinterland easter-island sherry-house notation-lab ontology-wiki theater-stage inner-strength".split()
+#: Words of host names by label, from which the small training table is built, and words that both kinds of hosts use.
+BLOCKED = (
+    "casino poker slots jackpot betting bets gambling roulette lottery blackjack bingo odds wager spins "
+    "ads adserver banner popup tracker tracking pixel clicks analytics-beacon doubleclick affiliate sponsor-ads "
+    "spam seo backlinks linkfarm win prize giveaway winner sweepstake "
+    "cheap pills viagra cialis pharmacy-rx steroids dietpills adult porn xxx sex cams escort nude "
+    "loans payday cash-advance credit-fix phish login-verify account-verify malware keygen crack serial warez torrent botnet trojan"
+).split()
+ALLOWED = (
+    "library science school news herald garden recipes weather museum art university press health travel music books history forum photo code math "
+    "language council sport nature film kids railway village harbor mountain bakery bird river reader other station thought another winter island house "
+    "theory thinking nation within earth truth thorough thanks "
+    "notation ontology theater strength orchard kitchen hospital church theatre orchestra archive journal lecture chemistry physics biology geology stars "
+    "painting poetry novel drama dance cycling sailing hiking running chess knitting pottery carpentry engineering software kernel compiler network "
+    "parliament court ministry embassy police fire-brigade insurance bank accounting lawyer dentist clinic nursing gardening seeds bees horses "
+    "cathedral castle bridge harbour airport metro tram bicycle winery cheese coffee tea bread pasta fishing forest lake valley"
+).split()
+SHARED = "best free top my online the super real go daily world club 24 pro".split()
 PATHS = ["/en/1234", "/de/77.html", "/fr/5/", "/es/901?page=2", "/index.html", "/"]
-HOSTS = ["{}.example.com", "www.{}.example.org", "blog.{}.example.net", "m.{}.example.com"]
+HOSTS = ["{}.example.com", "www.{}.example.org", "blog.{}.example.net", "m.{}.example.com", "{}.org", "www.{}.com", "{}.net"]
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -46,20 +61,30 @@ def url_buckets(host: Column, path: Column, dim: int, sizes: tuple[int, ...] = (
     return F.when((host == "") & (path == ""), F.array().cast("array<int>")).otherwise(logistic.buckets(F.concat(*grams), dim))
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The training table: every stem with two hosts and paths; allow is the commoner label."""
+def labelled_urls(parts: tuple[int, ...] = (0, 1, 2, 3, 4)) -> list[tuple[str, int, int]]:
+    """(url, label, part): each word alone, before and after a shared word, and joined with two words of its label.
+
+    ``parts`` selects from five: hosts are dealt over them by number, so that those of one part can be held out.
+    """
     rows = []
-    for label, stems in ((1, BLOCKED), (0, ALLOWED)):
-        for k, stem in enumerate(stems):
-            for j in range(2):
-                rows.append((f"https://{HOSTS[(k + 2 * j) % 4].format(stem)}{PATHS[(k + j) % 6]}", label))
-    values = ", ".join(f"('{u}', {y})" for u, y in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, label)")
+    for label, words in ((1, BLOCKED), (0, ALLOWED)):
+        for k, word in enumerate(words):
+            n = len(words)
+            others = [words[(k + 1) % n], words[(3 * k + 7) % n], SHARED[k % len(SHARED)], SHARED[(k + 5) % len(SHARED)]]
+            stems = [word, f"{word}-{others[0]}", f"{others[1]}{word}", f"{others[2]}-{word}", f"{word}{others[3]}"]
+            for j, stem in enumerate(stems):
+                rows.append((f"https://{HOSTS[(k + j) % len(HOSTS)].format(stem)}{PATHS[(k + 2 * j) % len(PATHS)]}", label, (k + 3 * j) % 5))
+    return [r for r in rows if r[2] in parts]
+
 
+def as_table(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y})" for u, y, _ in rows) + " AS t(url, label)")
 
-def train(spark: SparkSession, dim: int = 1024, reg: float = 0.002, labelled: DataFrame | None = None) -> logistic.Linear:
+
+def train(spark: SparkSession, dim: int = DIM, reg: float = 0.0001, labelled: DataFrame | None = None) -> logistic.Linear:
+    """Fit on ``labelled`` (url, label), a small table, or on the table of this module."""
     host, path = host_path(F.col("url"))
-    rows = labelled if labelled is not None else labelled_urls(spark)
+    rows = labelled if labelled is not None else as_table(spark, labelled_urls())
     rows = rows.select(F.col("label"), host.alias("host"), path.alias("path"))
     return logistic.fit(rows.select("label", url_buckets(F.col("host"), F.col("path"), dim).alias("idx")), dim, reg)
 
@@ -72,8 +97,11 @@ def rule_of(host: Column, path: Column, rules=None) -> Column:
     return F.coalesce(*out) if out else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def url_filter(df: DataFrame, url_col: str = "url", id_col: str = "page_id", rules=None, model: logistic.Linear | None = None, dim: int = 1024, threshold: float = 0.6) -> DataFrame:
-    """Per row: id, host, path, rule (or null), verdict and the model's block probability."""
+def url_filter(df: DataFrame, url_col: str = "url", id_col: str = "page_id", rules=None, model: logistic.Linear | None = None, dim: int = DIM, threshold: float = 0.45) -> DataFrame:
+    """Per row: id, host, path, rule (or null), verdict and the model's block probability.
+
+    ``threshold`` was chosen on one held-out part of the training table: the highest of a few without a false block.
+    """
     model = model or train(df.sparkSession, dim)
     host, path = host_path(F.col(url_col))
     rows = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
