@@ -20,6 +20,7 @@ table; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import logistic
 from pulsegrid.llm.common import TERM, ascii_lower, let
 
-DIM, WINDOW = 16_384, 64
+DIM, WINDOW = 4096, 64
 #: A family below this probability is not compared with its templates.
 LEAST_SHARE = 0.05
 #: Marks of comments that are words (others have no letters), and what parts paragraphs: line ends with no word between them.
@@ -214,6 +215,22 @@ def probabilities(model: logistic.Linear, idx: Column) -> Column:
     return let(raw, soft)
 
 
+def may_pass(model: logistic.Linear, least: float, idx: Column) -> Column:
+    """False only where the families' probability is surely below ``least``, by one sum instead of one a family.
+
+    Of the families' margins over unknown none exceeds the sum of the largest ones bucket by bucket, and the
+    families' odds are at most their number times the exponential of that.
+    """
+    n = len(model.weights) - 1
+    if least <= 0:
+        return F.lit(True)
+    *families, unknown = model.weights
+    rel = [max(w) - u for *w, u in zip(*families, unknown, strict=True)]
+    bias = max(model.intercepts[:n]) - model.intercepts[n]
+    # (the slack is above what rounding of weights to six digits can add)
+    return F.lit(bias) + logistic.sum_of(logistic.literal(rel), idx) * logistic.scale(idx) >= math.log(least / (1 - least) / n) - 0.01
+
+
 def train(spark: SparkSession, reg: float = 0.001) -> tuple[logistic.Linear, float]:
     """The model of all rows, and the probability of the families that passes.
 
@@ -270,16 +287,19 @@ def license_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     none = "array<struct<unit:int,family:string,p:double,confirmed:boolean>>"
 
     def judge(w: Column, i: Column, p: Column) -> Column:
-        likely = F.filter(F.transform(F.slice(p, 1, len(FAMILIES)), lambda x, k: F.struct(k.alias("k"), x.alias("p"))), lambda x: x["p"] >= LEAST_SHARE)
+        own_p = F.filter(F.transform(F.slice(p, 1, len(FAMILIES)), lambda x, k: F.struct(k.alias("k"), x.alias("p"))), lambda x: x["p"] >= LEAST_SHARE)
 
         def one(x: Column, own: Column, known: Column) -> Column:
             return F.struct(i.alias("unit"), F.element_at(names, x["k"] + 1).alias("family"), x["p"].alias("p"), confirmed(own, x["k"], known, share).alias("confirmed"))
 
-        return let(shingles(w), lambda own: let(_literal_templates(), lambda known: F.transform(likely, lambda x: one(x, own, known))))
+        return let(shingles(w), lambda own: let(_literal_templates(), lambda known: F.transform(own_p, lambda x: one(x, own, known))))
 
-    def classify(w: Column, i: Column) -> Column:
+    def likely(w: Column, i: Column, p: Column) -> Column:
         # (the comparison with templates is only evaluated where a licence is likely)
-        return let(probabilities(linear, features(w)), lambda p: F.when(1.0 - F.get(p, F.lit(len(FAMILIES))) >= least, judge(w, i, p)).otherwise(F.array().cast(none)))
+        return F.when(1.0 - F.get(p, F.lit(len(FAMILIES))) >= least, judge(w, i, p)).otherwise(F.array().cast(none))
+
+    def classify(w: Column, i: Column) -> Column:
+        return let(features(w), lambda idx: F.when(may_pass(linear, least, idx), let(probabilities(linear, idx), lambda p: likely(w, i, p))).otherwise(F.array().cast(none)))
 
     def scan(units: Column) -> Column:
         return F.struct(F.size(units).cast("long").alias("n_units"), F.flatten(F.transform(units, classify)).alias("found"))

@@ -59,12 +59,12 @@ def margins(model: Linear, idx: Column) -> Column:
 
     def scores(full: Column) -> Column:
         def of(own: Column) -> Column:
-            return F.array(*[F.lit(b) + _sum_of(literal(w), own) * scale(full) for w, b in zip(model.weights, model.intercepts, strict=True)])
+            return F.array(*[F.lit(b) + sum_of(literal(w), own) * scale(full) for w, b in zip(model.weights, model.intercepts, strict=True)])
 
         return let(F.filter(full, lambda i: F.element_at(used, i + 1) > 0), of)
 
     return let(idx, scores)
 
 
-def _sum_of(table: Column, idx: Column) -> Column:
+def sum_of(table: Column, idx: Column) -> Column:
     return F.aggregate(idx, F.lit(0.0), lambda s, i: s + F.element_at(table, i + 1))

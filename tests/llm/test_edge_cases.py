@@ -185,3 +185,14 @@ def test_pipeline_stages_on_messy_and_empty_documents(spark, messy, tmp_path):
             elif name == "near_duplicates":
                 # repeated texts under ids of their own give way, null ids all stay
                 assert out.where("doc_id IS NULL").count() == plain.where("doc_id IS NULL").count() and out.count() < n
+
+
+def test_bound_skips_no_unit_that_passes(spark):
+    """The bound by one sum holds wherever the families' probability passes, for any weights."""
+    n, dim = len(license_scan.FAMILIES), license_scan.DIM
+    model, rng = random_model(n + 1, dim), random.Random(4)
+    df = spark.createDataFrame([(sorted({rng.randrange(dim) for _ in range(rng.randint(0, 60))}),) for _ in range(400)], "idx array<int>")
+    for least in (0.5, 0.9, 0.97):
+        passes = 1.0 - F.get(license_scan.probabilities(model, F.col("idx")), F.lit(n)) >= least
+        got = df.select(passes.alias("p"), license_scan.may_pass(model, least, F.col("idx")).alias("m")).collect()
+        assert all(r.m for r in got if r.p) and any(r.p for r in got)
