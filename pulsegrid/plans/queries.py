@@ -391,7 +391,24 @@ def freq_from_peaks(s, d):
     return spectral.estimate_freq(vector_signals(s, d), KEY, 32.0, (0.5, 12.0), method="peak", window=32).select("signal_id", r6("out").alias("freq"))
 
 
-@query()
+def _detrend_sql(n: int, lam: float) -> str:
+    """z - x where (I + lam^2 D'D) x = z: a factorisation L d L' with two subdiagonals, then both substitutions, by recursion."""
+    w = lam * lam
+    main = f"(1 + {w} * CASE WHEN i + 1 = {n - 1} THEN 1 WHEN i + 1 IN (1, {n - 2}) THEN 5 ELSE 6 END)"
+    one = f"({w} * CASE WHEN i IN (0, {n - 2}) THEN -2 ELSE -4 END)"
+    return f"""WITH RECURSIVE {EM},
+    cf(i, d, d1, l1, l2) AS (SELECT 0, (1 + {w})::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL
+        SELECT i + 1, {main} - m2 * m2 * d1 - m1 * m1 * d, d, m1, m2
+        FROM (SELECT *, ({one} - m2 * d1 * l1) / d AS m1 FROM (SELECT *, CASE WHEN i > 0 THEN {w} / d1 ELSE 0 END AS m2 FROM cf)) WHERE i < {n - 1}),
+    fw(signal_id, i, y, y1) AS (SELECT signal_id, 0, val, 0::DOUBLE FROM em WHERE i = 0 UNION ALL
+        SELECT f.signal_id, f.i + 1, e.val - c.l2 * f.y1 - c.l1 * f.y, f.y FROM fw f JOIN em e ON e.signal_id = f.signal_id AND e.i = f.i + 1 JOIN cf c ON c.i = f.i + 1),
+    bw(signal_id, i, x, x1) AS (SELECT signal_id, i, y / d, 0::DOUBLE FROM fw JOIN cf USING (i) WHERE i = {n - 1} UNION ALL
+        SELECT b.signal_id, b.i - 1, f.y / c.d - o.l1 * b.x - coalesce(t.l2 * b.x1, 0), b.x
+        FROM bw b JOIN fw f ON f.signal_id = b.signal_id AND f.i = b.i - 1 JOIN cf c ON c.i = b.i - 1 JOIN cf o ON o.i = b.i LEFT JOIN cf t ON t.i = b.i + 1)
+    SELECT e.signal_id, e.i, round(e.val - b.x, 6) AS out FROM em e JOIN bw b ON b.signal_id = e.signal_id AND b.i = e.i"""
+
+
+@query(_detrend_sql(64, 10.0))
 def detrend(s, d):
     return spectral.detrend(vector_signals(s, d), KEY, 10.0).select("signal_id", "i", r6("out").alias("out"))
 
