@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import expr
+from pulsegrid.functions import expr, kernels
 from pulsegrid.operators import asof, augment, detect, elementwise, image, interp, metrics, physio, roi, spectral, topk, windows
 from pulsegrid.sources import media
 from pulsegrid.sources.tables import event_signals, micros, read, vector_frames, vector_pairs, vector_signals
@@ -413,7 +413,32 @@ def detrend(s, d):
     return spectral.detrend(vector_signals(s, d), KEY, 10.0).select("signal_id", "i", r6("out").alias("out"))
 
 
-@query()
+def _bandpass_sql(b, a, n: int) -> str:
+    """The filter (coefficients as designed) forwards and backwards over the signal with mirrored ends, sample by sample by recursion."""
+    m, pad = len(a), 3 * len(a)
+    size = n + 2 * pad
+    b, a = [repr(float(x)) for x in b], [repr(float(x)) for x in a]
+    gain = f"(({' + '.join(b)}) / ({' + '.join(a)}))"
+    # the state that a constant input of 1 leaves as it is
+    start = ["(" + " + ".join(f"{b[q]} - {a[q]} * {gain}" for q in range(k, m)) + ")" for k in range(1, m)]
+    z = [f"z{k}" for k in range(1, m)]
+
+    def passes(name: str, source: str) -> str:
+        nexts = [f"{f'r.z{k + 1} + ' if k < m - 1 else ''}{b[k]} * x.v - {a[k]} * ({b[0]} * x.v + r.z1)" for k in range(1, m)]
+        return f"""{name}(signal_id, j, y, {', '.join(z)}) AS (SELECT signal_id, -1, 0::DOUBLE, {', '.join(f'{c} * v' for c in start)} FROM {source} WHERE j = 0 UNION ALL
+        SELECT r.signal_id, r.j + 1, {b[0]} * x.v + r.z1, {', '.join(nexts)} FROM {name} r JOIN {source} x ON x.signal_id = r.signal_id AND x.j = r.j + 1)"""
+
+    return f"""WITH RECURSIVE {EM},
+    ex AS (SELECT signal_id, i + {pad} AS j, val AS v FROM em
+        UNION ALL SELECT e.signal_id, {pad} - e.i, 2 * o.val - e.val FROM em e JOIN em o ON o.signal_id = e.signal_id AND o.i = 0 WHERE e.i BETWEEN 1 AND {pad}
+        UNION ALL SELECT e.signal_id, {pad + 2 * (n - 1)} - e.i, 2 * o.val - e.val FROM em e JOIN em o ON o.signal_id = e.signal_id AND o.i = {n - 1} WHERE e.i BETWEEN {n - 1 - pad} AND {n - 2}),
+    {passes('fw', 'ex')},
+    tu AS (SELECT signal_id, {size - 1} - j AS j, y AS v FROM fw WHERE j >= 0),
+    {passes('bw', 'tu')}
+    SELECT signal_id, ({size - 1 - pad} - j)::BIGINT AS i, round(y, 6) AS out FROM bw WHERE j BETWEEN {pad} AND {size - 1 - pad}"""
+
+
+@query(_bandpass_sql(*kernels.butter_bandpass(1.0, 8.0, 32.0, 2), 64))
 def bandpass(s, d):
     return spectral.bandpass(vector_signals(s, d), KEY, 1.0, 8.0, 32.0, 2).select("signal_id", "i", r6("out").alias("out"))
 

@@ -14,7 +14,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["rate_global", "moving_std_hop", "step_upsample_asof", "box_resample", "topk_best", "mae_shift", "interp_linear_fill", "dft_peak", "random_distortion", "pad_frames", "hrv_sdnn_sequences", "overlay_sequences", "detrend"])
+@pytest.mark.parametrize("name", ["rate_global", "moving_std_hop", "step_upsample_asof", "box_resample", "topk_best", "mae_shift", "interp_linear_fill", "dft_peak", "random_distortion", "pad_frames", "hrv_sdnn_sequences", "overlay_sequences", "detrend", "bandpass"])
 def test_matches_duckdb(spark, name):
     con = duckdb.connect()
     for t in TABLES:
