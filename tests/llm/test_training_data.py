@@ -353,6 +353,42 @@ def test_toxicity_pairs_learn_what_an_additive_model_cannot():
     assert abs(machine.bias + machine.linear[one].sum() * x + pairs - machine.margins(one, off[:2])[0]) < 1e-4
 
 
+def test_toxicity_cut_is_the_one_of_greatest_f1():
+    rng = np.random.default_rng(2)
+    for n, places in [(1, 1), (2, 1), (40, 1), (200, 3), (200, 0), (50, 2)]:
+        m, y = rng.normal(0, 2, n).round(places), (rng.random(n) < 0.3).astype(float)
+        y[0] = 1
+        cut = toxicity.best_cut(m, y)
+        f1 = lambda c: 2 * y[m >= c].sum() / (y.sum() + (m >= c).sum())
+        halves = [(a + b) / 2 for a, b in zip(sorted(set(m)), sorted(set(m))[1:])]
+        assert f1(cut) >= max(map(f1, halves), default=0) - 1e-9
+        assert cut in halves or (not halves and cut == 0)
+
+
+def test_toxicity_is_calibrated_on_rows_kept_aside():
+    """Rare label 1 with a mark that a tenth of the others carries as well: the cut moves, and few labels move nothing."""
+    rng = np.random.default_rng(3)
+
+    def rows(n):
+        y = (rng.random(n) < 0.1).astype(float)
+        idx = [np.unique([*(rng.integers(0, 200, 20) + 10), *[1] * int(t or rng.random() < 0.1), *[2] * int(t and rng.random() < 0.8)]) for t in y]
+        return np.concatenate(idx), np.r_[0, np.cumsum([len(x) for x in idx])], y
+
+    p = toxicity.Params()
+    idx, off, y = rows(4000)
+    plain, moved = toxicity.train(idx, off, y, p), toxicity.calibrated(idx, off, y, p)
+    assert moved.bias != plain.bias and (moved.linear == plain.linear).all() and (moved.factor == plain.factor).all()
+    idx, off, y = rows(4000)
+
+    def f1(machine):
+        hit = machine.margins(idx, off) >= 0
+        return 2 * y[hit].sum() / (y.sum() + hit.sum())
+
+    assert f1(moved) >= f1(plain) - 0.02 and f1(moved) > 0.8
+    idx, off, y = rows(300)
+    assert toxicity.calibrated(idx, off, y, p).bias == toxicity.train(idx, off, y, p).bias
+
+
 def test_license_families(docs_of, odd):
     texts = ["ble thntre.\nLicensed under the Apache License, Version 2.0.\nend", "The fishing license costs 2.0", "Released under the MIT License.\nLicensed under CC BY-NC 4.0.", "word " * 200 + "This work is licensed under the GNU General Public License, version 3."]
     df = license_scan.license_scan(docs_of([*texts, *odd]))
