@@ -100,9 +100,8 @@ def train(idx: np.ndarray, off: np.ndarray, y: np.ndarray, p: Params) -> Machine
     # buckets of few rows teach nothing that holds elsewhere; the rest are numbered without gaps
     n = np.diff(off)
     common = np.bincount(idx, minlength=dim) >= p.least_rows
-    use, column = common[idx], np.cumsum(common) - 1
-    row_of = np.repeat(np.arange(len(n)), n)[use]
-    idx, off = column[idx[use]], np.r_[0, np.cumsum(np.bincount(row_of, minlength=len(n)))]
+    use, column = common[idx], (np.cumsum(common) - 1).astype(np.int32)
+    idx, off = column[idx[use]], np.r_[0, np.cumsum(use, dtype=np.int32)][off]
     width = int(common.sum())
     linear, factor = np.zeros(width), rng.normal(0, p.spread, (width, p.factors))
     scale = np.sqrt(np.maximum(n, 1))
@@ -111,13 +110,11 @@ def train(idx: np.ndarray, off: np.ndarray, y: np.ndarray, p: Params) -> Machine
     steps, step = p.epochs * -(-len(y) // p.batch), 0
     for _ in range(p.epochs):
         order = rng.permutation(len(y))
-        starts = np.r_[0, np.cumsum(n[order])]
-        shuffled = idx[np.repeat(off[order] - starts[:-1], n[order]) + np.arange(starts[-1])]
         for s in range(0, len(y), p.batch):
             rows = order[s : s + p.batch]
-            o = starts[s : s + len(rows) + 1]
-            ids = shuffled[o[0] : o[-1]]
-            m, (x, row, vx, total) = _margins(bias, linear, factor, ids, o - o[0], scale[rows])
+            o = np.r_[0, np.cumsum(n[rows])]
+            ids = idx[np.repeat(off[rows] - o[:-1], n[rows]) + np.arange(o[-1])]
+            m, (x, row, vx, total) = _margins(bias, linear, factor, ids, o, scale[rows])
             err = weight[rows] * (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[rows])
             own = np.bincount(ids, minlength=width) > 0
             e = err[row] * x
@@ -158,8 +155,11 @@ def calibrated(idx: np.ndarray, off: np.ndarray, y: np.ndarray, p: Params) -> Ma
         return machine
     of = np.repeat(aside, np.diff(off))
     ends = lambda part: np.r_[0, np.cumsum(np.diff(off)[part])]
-    trial = train(idx[~of], ends(~aside), y[~aside], p)
-    return Machine(machine.bias - best_cut(trial.margins(idx[of], ends(aside)), y[aside]), machine.linear, machine.factor, machine.bits)
+    trial, put, at = train(idx[~of], ends(~aside), y[~aside], p), idx[of], ends(aside)
+    rows = np.arange(len(at) - 1)
+    # in blocks, as a row's terms take several arrays of their length
+    margins = [trial.margins(put[at[b[0]] : at[b[-1] + 1]], at[b[0] : b[-1] + 2] - at[b[0]]) for b in np.split(rows, rows[256::256])]
+    return Machine(machine.bias - best_cut(np.concatenate(margins), y[aside]), machine.linear, machine.factor, machine.bits)
 
 
 def fold(id_: Column) -> Column:
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str =
 
     got = picked.mapInArrow(run, f"id {id_type}, y int, idx array<int>").toPandas().sort_values("id", kind="stable")
     n = got["idx"].map(len).to_numpy(np.int64) if len(got) else np.empty(0, np.int64)
-    idx = np.concatenate(got["idx"].tolist()).astype(np.int64) if n.sum() else np.empty(0, np.int64)
+    idx = np.concatenate(got.pop("idx").tolist(), dtype=np.int32) if n.sum() else np.empty(0, np.int32)
     return calibrated(idx, np.r_[0, np.cumsum(n)], got["y"].to_numpy(np.float64), p)
 
 
