@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str =
 
     got = picked.mapInArrow(run, f"id {id_type}, y int, idx array<int>").toPandas().sort_values("id", kind="stable")
     n = got["idx"].map(len).to_numpy(np.int64) if len(got) else np.empty(0, np.int64)
-    idx = np.concatenate(got.pop("idx").tolist(), dtype=np.int32) if n.sum() else np.empty(0, np.int32)
+    idx = np.concatenate([np.asarray(x, np.int32) for x in got.pop("idx")]) if n.sum() else np.empty(0, np.int32)
     return calibrated(idx, np.r_[0, np.cumsum(n)], got["y"].to_numpy(np.float64), p)
 
 
